@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import common, exact_dedup, line_rules, packing, simple8b, trie_bpe
+from lexweave.llm import common, exact_dedup, line_rules, minhash, packing, quality, simple8b, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,17 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_tokens(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _judged(scores: DataFrame, modulus: int, rest: int, threshold: float) -> DataFrame:
+    held = common.crc32_of(F.col("doc_id")) % modulus == rest
+    return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    return _judged(toxicity.score(docs, model), 3, 1, toxicity.THRESHOLD)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(common.table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -26,6 +37,11 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    return _judged(quality.score(docs, quality.fit(docs, labels)), 4, 2, 0.7)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), end_id=1)
 
@@ -34,8 +50,12 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.assess(common.table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simple8b, op3_exact_dedup, op4_bpe_trie, op8_packing, op9_line_rules)}
+    return {f.__name__: f for f in (op1_simple8b, op2_toxicity, op3_exact_dedup, op4_bpe_trie, op6_quality, op8_packing, op9_line_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
