@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import common, exact_dedup, line_rules, minhash, packing, quality, simple8b, toxicity, trie_bpe
+from lexweave.llm import common, exact_dedup, html_blocks, line_rules, minhash, packing, pii, quality, simple8b, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +37,20 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     return _judged(quality.score(docs, quality.fit(docs, labels)), 4, 2, 0.7)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), end_id=1)
 
@@ -54,8 +63,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simple8b, op2_toxicity, op3_exact_dedup, op4_bpe_trie, op6_quality, op8_packing, op9_line_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_simple8b, op2_toxicity, op3_exact_dedup, op4_bpe_trie, op5_pii, op6_quality, op7_html_text, op8_packing, op9_line_rules, op10_minhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
