@@ -215,7 +215,8 @@ def fit(docs: DataFrame, limit: int = MAX_TRAINING) -> Trees:
     parts = []
     for kind in KINDS:
         parts.append(F.transform(F.col(f"loose_{kind}"), _example(kind)))
-    found = rows.select(F.explode(F.concat(*parts)).alias("c")).select("c.x", "c.y").limit(limit).collect()
+    # outer, as else Spark pushes a filter on the array down through the patterns, each written into the next
+    found = rows.select(F.explode_outer(F.concat(*parts)).alias("c")).filter("c is not null").select("c.x", "c.y").limit(limit).collect()
     if not found:
         return Trees()
     x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float)
