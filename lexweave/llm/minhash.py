@@ -10,10 +10,10 @@
 5. In STARS further rounds, each bucket that still holds several components pairs its members
    with another member, chosen at random by bucket and round. Copies of copies, not all of which
    reach the threshold with the smallest, meet by that in a few rounds, at m - 1 pairs a bucket.
-6. Members of a bucket that are in different components even then are all compared: pair by
-   pair where the bucket holds few components, else over their rarest shingles (two sets of
-   similarity t share one of their first n - ceil(t n) + 1 shingles, whatever the order; rarest
-   first keeps passages that many texts share out of the join).
+6. Members of buckets that hold several components even then are compared across components
+   over their rarest shingles: two sets of n and m shingles that reach the threshold have so
+   many in common that one lies among the first few of both, whatever the order; rarest first
+   keeps passages that many texts share out of the join.
 
 No step emits all pairs of a group; nothing is capped. The chance that a pair of exactly the
 threshold shares no bucket is (1 - 0.75^4)^32, 5 in a million.
@@ -37,8 +37,6 @@ BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-6
 #: Rounds of stars around random members.
 STARS = 2
-#: A bucket of more components than this is compared by rarest shingles instead of pair by pair.
-FEW = 32
 MAX_WORDS, MAX_WORD_BYTES = 600_000, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -209,8 +207,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _rarest(sets: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the crowded ids (id, component, n) in different components that share one of their rarest shingles."""
+def _rarest(sets: DataFrame, apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the ids (id, component, n) in different components that share one of their rarest shingles."""
 
     def run(batches):
         for batch in batches:
@@ -218,14 +216,17 @@ def _rarest(sets: DataFrame, crowded: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["id", "shingle"])
 
-    rows = map_batches(sets.join(crowded.select("id"), "id", "left_semi"), run, "id long, shingle long")
+    rows = map_batches(sets.join(apart.select("id"), "id", "left_semi"), run, "id long, shingle long")
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # a shingle of one text alone joins nothing but takes its place in the order, before all others
     ordered = rows.join(common, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
-    first = ordered.filter("df is not null").join(crowded, "id").filter(F.col("place") <= F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1).select("shingle", "id", "component", "n", "place")
+    first = ordered.filter("df is not null").join(apart, "id").filter(F.col("place") <= F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1).select("shingle", "id", "component", "n", "place")
     # of two sets of n and m shingles, at least `both` must be common, so one lies among the first n - both + 1 and m - both + 1
     both = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-    return _across(first, "shingle", (F.col("pa") <= F.col("na") - both + 1) & (F.col("pb") <= F.col("nb") - both + 1))
+    x, y = ([F.col(c).alias(c[0] + side) for c in ("component", "n", "place")] for side in "ab")
+    pairs = first.select("shingle", F.col("id").alias("a"), *x).join(first.select("shingle", F.col("id").alias("b"), *y), "shingle")
+    early = (F.col("pa") <= F.col("na") - both + 1) & (F.col("pb") <= F.col("nb") - both + 1)
+    return pairs.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb")) & early).select("a", "b")
 
 
 def _sizes_allow(n, m):
@@ -233,18 +234,10 @@ def _sizes_allow(n, m):
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with their component and the number of those."""
+    """The members of buckets that hold several components, with their component."""
     placed = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    return shared_table(placed.join(parts, "key"), "apart")
-
-
-def _across(rows: DataFrame, key: str, near=None) -> DataFrame:
-    """Pairs (a, b) of rows with the same key in different components, whose sizes allow the threshold."""
-    x = rows.select(key, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *([F.col("place").alias("pa")] if near is not None else []))
-    y = rows.select(key, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *([F.col("place").alias("pb")] if near is not None else []))
-    near = F.lit(True) if near is None else near
-    return x.join(y, key).filter(near & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb"))).select("a", "b")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return shared_table(placed.join(several, "key"), "apart")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,8 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(links_of(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), nodes, sets))
         labels = components(links)
     left = _apart(members, labels)
-    crowded = left.filter(F.col("parts") > FEW).select("id", "component", "n").distinct()
-    rest = _across(left.filter(F.col("parts") <= FEW), "key").union(_rarest(sets, crowded)).distinct()
+    rest = _rarest(sets, left.select("id", "component", "n").distinct()).distinct()
     links = links.union(links_of(rest, nodes, sets))
     of_node = components(links)
 
