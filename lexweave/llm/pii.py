@@ -294,7 +294,8 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
     piece = lambda r, i: F.concat(F.substring(F.col("text"), F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(F.col("__runs"), i)["end"]) + 1, r["start"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(F.col("__runs"), i)["end"])), F.element_at(names_of, r["kind"] + 1))
     rest = F.substring(F.col("text"), F.try_element_at(F.col("__runs"), F.lit(-1))["end"] + 1, F.length("text"))
     rows = rows.withColumn("__clean", F.when(F.size("__runs") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.transform("__runs", piece), ""), rest)))
-    out = rows.withColumn("text", F.col("__clean")).withColumnsRenamed({v: k for k, v in names.items()})
+    out = rows.withColumn("text", F.col("__clean"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("__runs") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    out = out.drop("base", "spans", "__runs", "__clean").withColumnsRenamed({v: k for k, v in names.items()})
     return out.select(*[f"`{c}`" for c in columns])
