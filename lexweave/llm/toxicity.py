@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,10 +106,14 @@ class _Trainer:
 
     def __init__(self, rows: list[str]):
         numbers: dict[str, int] = {}
-        self.texts = [np.array([numbers.setdefault(w, len(numbers)) for w in t.split()] or [numbers.setdefault("", len(numbers))], np.int64) for t in rows]
-        lists = [grams(w) for w in numbers]
-        self.size = np.array([len(x) for x in lists])
-        self.flat = np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
+        self.texts = [np.array([numbers.setdefault(w, len(numbers)) for w in t.split()] or [numbers.setdefault("", len(numbers))], np.int32) for t in rows]
+        # one packed array, filled word by word: lists of all words' buckets would take the driver ten times the memory
+        flat, size = array("i"), array("i")
+        for word in numbers:
+            own = grams(word)
+            flat.extend(own)
+            size.append(len(own))
+        self.size, self.flat = np.array(size, np.int64), np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
         self.first = np.cumsum(self.size) - self.size
 
     def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
