@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -47,9 +48,39 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches, as texts may be long."""
+    """mapInArrow with small batches, as texts may be long; a worker gives free memory back after each task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df.mapInArrow(batches, schema)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(rows)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns what the allocators keep for later to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What make() gives for key, kept by the Python worker from task to task.
+
+    A worker keeps one such thing at a time: in a chain of operators their memories take turns
+    and don't add up.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def crc32_of(doc_id: Column) -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import map_batches, shared_table, texts
+from lexweave.llm.common import map_batches, resident, shared_table, texts
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-6
 #: Rounds of stars around random members.
 STARS = 2
-MAX_WORDS, MAX_WORD_BYTES = 600_000, 128
+MAX_WORDS, MAX_WORD_BYTES = 200_000, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,9 +51,6 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,9 +60,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str) -> np.ndarray:
     """The distinct 5-word shingles of the whole text, hashed and ascending; a shorter text is one, no words none."""
-    if len(_WORDS) > MAX_WORDS:
-        _WORDS.clear()
-    words = np.frombuffer(b"".join(map(_WORDS.__getitem__, text.encode("utf-8").lower().split())), "<u8").astype(np.uint64)
+    known = resident("shingles", WordHashes)
+    if len(known) > MAX_WORDS:
+        known.clear()
+    words = np.frombuffer(b"".join(map(known.__getitem__, text.encode("utf-8").lower().split())), "<u8").astype(np.uint64)
     n = min(SHINGLE, len(words))
     if not n:
         return words

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lexweave.llm.common import map_batches, texts, tokenizer_path
+from lexweave.llm.common import map_batches, resident, texts, tokenizer_path
 from lexweave.llm.wordcache import LETTERS, MAX_WORD_BYTES, PIECES, PLAIN, pack, spelled
 
 #: Bounds of a worker's memory: nodes of a trie before it is walked and dropped; words, pieces and pairs kept.
@@ -235,14 +235,9 @@ class TrieEncoder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
     """The worker's encoder for the vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+    return resident(("trie", path), lambda: TrieEncoder(path))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:

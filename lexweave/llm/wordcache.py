@@ -15,6 +15,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from lexweave.llm.common import resident
+
 #: Bounds of the memory: words and pieces kept (all are forgotten beyond), and bytes of the longest kept.
 MAX_WORDS, MAX_WORD_BYTES = 600_000, 128
 
@@ -91,11 +93,6 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for the vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return resident(("words", path), lambda: WordEncoder(path))

@@ -187,3 +187,10 @@ def test_scores(spark):
         assert scored.filter("score between 0 and 1").count() == len(TEXTS)
     assert toxicity.score(table(spark, TEXTS), toxicity.fit([])).filter("score >= 0.7").count() == 0
     assert toxicity.keep_clean(table(spark, TEXTS), toxic).columns == table(spark, []).columns
+
+
+def test_worker_keeps_one_memory_at_a_time():
+    first = common.resident("a", dict)
+    assert common.resident("a", dict) is first
+    common.resident("b", dict)
+    assert common.resident("a", dict) is not first
