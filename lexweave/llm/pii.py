@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.llm import common
+
 KINDS = ("email", "ip", "card", "phone")
 #: Strict forms. As the plain patterns of the contract, but each repeated class is possessive and
 #: begins at its run's start, so that a long run of characters is read once.
@@ -26,11 +28,11 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Loose forms: also written-out signs in addresses; digits with other separators.
+#: Loose forms: also written-out signs in addresses; digits with other separators or none.
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,24}+)+",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:(?:\.|,|\[\.\])[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2}[\x20._/-]{1,2}[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2}[\x20._/-]{1,2}[0-9]{1,7}|[0-9]{4}[\x20._/-]{1,2}[0-9]{6}[\x20._/-]{1,2}[0-9]{4,5}|[0-9]{12,19})(?![0-9])",
     "phone": r"(?<![0-9+])(?:00|\()?[0-9][0-9\x20()./-]{7,20}[0-9](?![0-9])",
 }
 CONTEXT = 32
@@ -109,15 +111,33 @@ def _matches(rows: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base_<kind> (checked strict spans) and loose_<kind> (all proposals, strict matches that fail too)."""
+    """Adds base_<kind> (checked strict spans) and loose_<kind> (all proposals, strict matches that fail too).
+
+    A span that both forms propose is there once, with the longer of its contexts.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("__digit", F.when(whole.rlike("[0-9]"), whole).otherwise("")).withColumn("__at", F.when(F.contains(whole, F.lit("@")) | whole.rlike(r"[(\[]at[)\]]"), whole).otherwise(""))
     for kind in KINDS:
         source = "__at" if kind == "email" else "__digit"
         rows = _matches(rows, source, BASE[kind], f"__base_{kind}")
-        rows = _matches(rows, source, LOOSE[kind], f"loose_{kind}")
+        rows = _matches(rows, source, LOOSE[kind], f"__loose_{kind}")
         rows = rows.withColumn(f"base_{kind}", F.filter(F.col(f"__base_{kind}"), _check(kind)))
-    return rows.drop("__digit", "__at", *(f"__base_{k}" for k in KINDS))
+        rows = rows.withColumn(f"__all_{kind}", F.array_sort(F.transform(F.concat(f"__base_{kind}", f"__loose_{kind}"), _by_place)))
+        rows = rows.withColumn(f"loose_{kind}", F.filter(F.col(f"__all_{kind}"), _new_span(f"__all_{kind}")))
+    return rows.drop("__digit", "__at", *(f"__{p}_{k}" for p in ("base", "loose", "all") for k in KINDS))
+
+
+def _by_place(c: Column) -> Column:
+    """The match so that sorting puts equal spans side by side, the one with the longest context first."""
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), (-F.length(c["before"]) - F.length(c["after"])).alias("context"), c["match"].alias("match"), c["before"].alias("before"), c["after"].alias("after"))
+
+
+def _new_span(ordered: str):
+    def new(c: Column, i: Column) -> Column:
+        last = F.try_element_at(F.col(ordered), F.greatest(i, F.lit(1)))
+        return (i == 0) | (last["start"] != c["start"]) | (last["end"] != c["end"])
+
+    return new
 
 
 #: Features of a candidate, by name; format first, then context.
@@ -194,17 +214,19 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 def _example(kind: str):
     def example(c: Column) -> Column:
         label = F.exists(F.col(f"base_{kind}"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.struct(F.array(*features(kind, c)).alias("x"), label.cast("int").alias("y"))
+        return F.struct(F.array(*features(kind, c)).alias("x"), label.cast("int").alias("y"), F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
 
     return example
 
 
-def _selected(kind: str, model: Trees):
-    return lambda c: model.column(features(kind, c)) >= model.thresholds[kind]
+def _selected(kind: str, model: Trees) -> Column:
+    """The proposals that the trees select; features are computed once each, not once a tree."""
+    rows = F.transform(F.col(f"loose_{kind}"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array(*features(kind, c)).alias("x")))
+    return F.filter(rows, lambda c: model.column([c["x"][i] for i in range(len(FEATURES))]) >= model.thresholds[kind])
 
 
 def fit(docs: DataFrame, limit: int = MAX_TRAINING) -> Trees:
-    """Fits on the candidates of texts taken by a hash of the text, at most limit of them.
+    """Fits on the candidates of texts taken by a hash of the text: of each kind at most its share of limit, by hash.
 
     A candidate's weak label is whether it overlaps a checked strict span of its kind. The
     threshold of a kind is the lowest at which PRECISION of the unseen fold's selected
@@ -216,7 +238,9 @@ def fit(docs: DataFrame, limit: int = MAX_TRAINING) -> Trees:
     for kind in KINDS:
         parts.append(F.transform(F.col(f"loose_{kind}"), _example(kind)))
     # outer, as else Spark pushes a filter on the array down through the patterns, each written into the next
-    found = rows.select(F.explode_outer(F.concat(*parts)).alias("c")).filter("c is not null").select("c.x", "c.y").limit(limit).collect()
+    every = rows.select(F.explode_outer(F.concat(*parts)).alias("c"), F.xxhash64("text").alias("t")).filter("c is not null")
+    every = common.shared_table(every.select("c.x", "c.y", "c.kind", F.xxhash64("t", "c.kind", "c.start", "c.end").alias("h")), "pii-candidates")
+    found = [r for k in range(len(KINDS)) for r in every.filter(F.col("kind") == k).orderBy("h").select("x", "y", "h").limit(limit // len(KINDS)).collect()]
     if not found:
         return Trees()
     x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float)
@@ -252,7 +276,7 @@ def spans(docs: DataFrame, model: Trees) -> DataFrame:
     plain = lambda kind: lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), c["end"].alias("end"))
     base = F.concat(*(F.transform(F.col(f"base_{k}"), plain(k)) for k in KINDS))
     added = [
-        F.transform(F.filter(F.col(f"loose_{k}"), _selected(k, model)), plain(k)) for k in KINDS if k in model.thresholds
+        F.transform(_selected(k, model), plain(k)) for k in KINDS if k in model.thresholds
     ]
     rows = rows.withColumn("base", F.array_sort(base))
     rows = rows.withColumn("spans", F.array_sort(F.array_distinct(F.concat(F.col("base"), *added))))

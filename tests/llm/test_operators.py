@@ -139,6 +139,16 @@ def test_pii_base_equals_plain_patterns_and_redaction(spark):
     assert pii.report(table(spark, []), pii.fit(table(spark, []))).count() == 0
 
 
+def test_pii_proposes_every_strict_match_and_all_card_forms(spark):
+    text = "card 9807915762804490 or 3782 822463 10005 or 3782.822463.10005 or 4111_1111_1111_1111 or 12, call +4 +12 3456789, host 256.1.1.1 a@b.c"
+    row = pii.candidates(table(spark, [(1, text), (2, None)])).filter("doc_id = 1").first()
+    for kind, pattern in BASE.items():
+        spans = [(c["start"], c["end"]) for c in row[f"loose_{kind}"]]
+        assert len(spans) == len(set(spans)) and all(text[c["start"] : c["end"]] == c["match"] for c in row[f"loose_{kind}"])
+        assert {m.span() for m in re.finditer(pattern, text)} <= set(spans)
+    assert {"9807915762804490", "3782 822463 10005", "3782.822463.10005", "4111_1111_1111_1111"} <= {c["match"] for c in row["loose_card"]}
+
+
 def test_packing(spark, library):
     rows = packing.pack(table(spark, TEXTS)).collect()
     assert sum(r["length"] for r in rows) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in TEXTS)
