@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexweave.llm import common, exact_dedup, html_blocks, line_rules, minhash, packing, pii, quality, simple8b, toxicity, trie_bpe, wordcache
@@ -149,6 +150,22 @@ def test_pii_proposes_every_strict_match_and_all_card_forms(spark):
     assert {"9807915762804490", "3782 822463 10005", "3782.822463.10005", "4111_1111_1111_1111"} <= {c["match"] for c in row["loose_card"]}
 
 
+def test_pii_thresholds_behave_alike_at_every_size():
+    for good in ([1] * 4, [1, 1, 1, 0], [1] * 99 + [0], [0, 1]):
+        score, good = np.arange(len(good), 0, -1.0), np.array(good, float)
+        assert {pii.threshold(np.repeat(score, k), np.repeat(good, k)) for k in (1, 7, 500)} == {pii.threshold(score, good)}
+    assert pii.threshold(np.ones(4), np.ones(4)) == 1.0 and pii.threshold(np.ones(0), np.ones(0)) is None
+    assert pii.threshold(np.arange(50, 0, -1.0), np.array([1.0] + [0.0, 1.0] * 24 + [0.0])) is None
+
+
+def test_pii_selection_leaves_the_words_after_an_address(spark):
+    rows = table(spark, [(1, "ask a.b@site.org. Please call again, or c.d (at) host (dot) org")])
+    clean = pii.redact(rows, pii.Trees(start=0.0, thresholds={"email": -1.0})).first()["text"]
+    assert clean == "ask [EMAIL]. Please call again, or [EMAIL]"
+    label = pii.candidates(rows).select(F.transform("loose_email", pii._example("email"))["y"].alias("y"), F.transform("loose_email", lambda c: c["match"]).alias("m")).first()
+    assert dict(zip(label["m"], label["y"])) == {"a.b@site.org": 1, "a.b@site.org. Please": 0, "c.d (at) host (dot) org": 0}
+
+
 def test_packing(spark, library):
     rows = packing.pack(table(spark, TEXTS)).collect()
     assert sum(r["length"] for r in rows) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in TEXTS)
