@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _saved(table: DataFrame) -> DataFrame:
+    """Writes table to the folder that driver and executors share and reads it back; a local one only where none is configured."""
+    spark = table.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexweave-')).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def _values(spark: SparkSession, values: list, schema: str = "x string") -> DataFrame:
     return spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema)
 
@@ -247,6 +257,37 @@ def audit_log(spark, d):
     return pii_tr.audit(pii_tr.vault(_letters(spark))).select("seq", "pii_type", "placeholder")
 
 
+# The same over all documents and types. SQL can't follow the six passes; the tests compare with brute force.
+
+
+def _marked(spark, d) -> DataFrame:
+    """All documents, detected. A repeated doc_id with another text is a document of its own."""
+    own = F.struct("doc_id", F.sha2("text", 256).alias("sha256"))
+    return pii_tr.detect(_read(spark, d, "documents").select(own.alias("document_id"), F.col("doc_id").alias("ingest_seq"), F.col("text").alias("raw_text")))
+
+
+@query()
+def pii_redact_documents(spark, d):
+    found = _saved(_marked(spark, d).drop("raw_text"))
+    return pii_tr.redact(found, _saved(pii_tr.vault(found))).select("document_id.doc_id", "text")
+
+
+@query()
+def pii_detect_types(spark, d):
+    found = pii_tr.detect(_read(spark, d, "documents"), "text")
+    return pii_tr.exploded(found, "doc_id").groupBy("doc_id", "h.pii_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pii_vault_documents(spark, d):
+    return pii_tr.vault(_marked(spark, d)).select("pii_type", "placeholder", F.sha2("value", 256).alias("value_sha256"), "first_seq")
+
+
+@query()
+def audit_log_documents(spark, d):
+    return pii_tr.audit(_saved(pii_tr.vault(_marked(spark, d)))).select("seq", "pii_type", "placeholder")
+
+
 # --- entities and relations ------------------------------------------------------------------
 
 
@@ -264,6 +305,13 @@ def entity_filter(spark, d):
     return _values(spark, _CANDIDATES).select("x", (~entities.rejected(F.col("x"))).cast("int").alias("kept"))
 
 
+@query()
+def entity_filter_turns(spark, d):
+    """Every distinct word and run of capitalised words of all conversations; SQL can't follow the runs."""
+    turns = _read(spark, d, "conversations").select(F.explode(F.array_distinct(F.concat(t.words(F.col("text")), entities.regex_names(F.col("text"))))).alias("x"))
+    return turns.groupBy("x").agg(F.count(F.lit(1)).alias("turns")).withColumn("kept", (~entities.rejected(F.col("x"))).cast("int"))
+
+
 _REPLIES = [(1, "Acme Holding\nProje Zeus\nBeta Firması"), (2, "- Acme Holding\n2. Proje Zeus\n* Beta Firması"), (3, "Acme Holding\n\nAcme Holding\n   \nProje Zeus"), (4, None)]
 
 
@@ -359,6 +407,24 @@ def connection_path(spark, d):
     return found.select("found", F.array_join("nodes", "|").alias("nodes"), F.array_join("relations", "|").alias("relations"), "confidence")
 
 
+def _parts(spark, d) -> DataFrame:
+    """Orders as documents, parts as entities; ids as text, as in the archive."""
+    own = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").cast("string").alias("node_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    return own.withColumn("label", F.concat(F.lit("Part "), F.col("node_id")))
+
+
+@query()
+def connection_path_parts(spark, d):
+    """From the smallest to the largest part, through the orders; every seventh order's pairs are typed."""
+    m = _parts(spark, d)
+    pairs = graph.cooccurrences(m).filter("document_id % 7 = 0 and source_id < target_id")
+    relations = pairs.select("document_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.lit("supplied").alias("relation"), F.col("seq").alias("rel_seq"))
+    edges = _saved(graph.last_write(graph.cooccurrences(m, relations)))
+    ends = _read(spark, d, "lineitem").agg(F.min("l_partkey"), F.max("l_partkey")).first()
+    found = graph.described_path(graph.most_reliable_path(edges, *map(str, ends), save=_saved), graph.nodes(m))
+    return found.select("found", F.array_join("nodes", "|").alias("nodes"), F.array_join("relations", "|").alias("relations"), "confidence")
+
+
 @query("SELECT l_suppkey AS node_id FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1) AND l_suppkey <> 1 GROUP BY 1")
 def graph_neighbours(spark, d):
     edges = graph.last_write(graph.cooccurrences(_mentions(spark, d)))

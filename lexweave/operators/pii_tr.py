@@ -63,7 +63,8 @@ def vault(detected: DataFrame, known: DataFrame | None = None, seq: str = "inges
     """pii_type, value, placeholder, first_seq, first_pass, first_pos of every distinct value.
 
     Values are numbered by type in the order of document, pass and place. Ranks come from a sort
-    of the distinct values of each type alone; known values keep their placeholder.
+    of the distinct values of each type alone, values first seen at one place of a repeated
+    document number by value; known values keep their placeholder.
     """
     first = exploded(detected, F.col(seq).alias("seq")).groupBy("h.pii_type", "h.value").agg(F.min(F.struct("seq", "h.pass", "h.pos")).alias("first"))
     offset = F.lit(0)
@@ -71,7 +72,7 @@ def vault(detected: DataFrame, known: DataFrame | None = None, seq: str = "inges
         first = first.join(known.select("pii_type", "value"), ["pii_type", "value"], "left_anti")
         first = first.join(F.broadcast(known.groupBy("pii_type").agg(F.count(F.lit(1)).alias("had"))), "pii_type", "left")  # six types at most
         offset = F.coalesce("had", F.lit(0))
-    number = F.row_number().over(Window.partitionBy("pii_type").orderBy("first")) + offset
+    number = F.row_number().over(Window.partitionBy("pii_type").orderBy("first", "value")) + offset
     new = first.select("pii_type", "value", F.concat(F.lit("["), F.col("pii_type"), F.lit("_"), number.cast("string"), F.lit("]")).alias("placeholder"), F.col("first.seq").alias("first_seq"), F.col("first.pass").alias("first_pass"), F.col("first.pos").alias("first_pos"))
     return new if known is None else known.unionByName(new)
 
