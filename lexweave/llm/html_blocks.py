@@ -22,10 +22,14 @@ from pyspark.sql import DataFrame
 from lexweave.llm.common import map_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[/!?][^<>]*>|</?[a-zA-Z][^<>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
+#: Elements that hold no text of the page, where they end; those of TOKEN hold no elements, and by HTML's rules go on to the page's end without their end tag.
+HIDDEN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)(noscript|template|head|svg|select)\b[^>]*>", re.DOTALL | re.IGNORECASE)
+#: What can stand in a head.
+IN_HEAD = re.compile(r"(?:\s+|<!--.*?-->|<(title|script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<(?:meta|link|base|basefont|bgsound)\b[^>]*>)*+", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
 #: Elements within a block's text; all others begin a block. Fixed values.
@@ -37,6 +41,22 @@ PATH_WIDE, WORD_WIDE, FIGURES, HIDDEN = 96, 48, 8, 24
 WIDE = PATH_WIDE + WORD_WIDE + FIGURES
 
 
+def hidden(page: str) -> dict[int, int]:
+    """Start and end of the elements without text of the page. Of those that aren't closed a head ends before what can't stand in it; others are ordinary tags."""
+    ends, opened = {}, {}
+    for m in HIDDEN_TAG.finditer(page):
+        tag = (m[3] or "").lower()
+        if not tag or tag == "svg" and m[0].endswith("/>"):
+            continue
+        if not m[2]:
+            opened.setdefault(tag, []).append(m)
+        elif opened.get(tag):
+            ends[opened[tag].pop().start()] = m.end()
+    for m in opened.get("head", ())[:1]:
+        ends[m.start()] = IN_HEAD.match(page, m.end()).end()
+    return ends
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path names, text, characters in links) of each non-empty block, in page order."""
     found, stack, parts, linked, link = [], [], [], 0, 0
@@ -48,12 +68,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             found.append((tuple(n for names, _ in stack for n in names), text, linked))
         parts, linked = [], 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, ends = 0, hidden(page)
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * (link > 0)
-        at = m.end()
+        at = ends.get(m.start(), m.end())
+        if m.start() in ends:
+            continue
         tag = (m[3] or "").lower()
         if not tag:
             continue

@@ -198,6 +198,16 @@ def test_html_blocks(spark):
     assert [r["text"] for r in got if r["page_id"] == 1] == ["Title here\nOne & two three.\nFour words in here."] and len(got) == 5
 
 
+def test_html_elements_without_end_tags_keep_the_page():
+    texts = lambda page: [text for _, text, _ in html_blocks.blocks(page)]
+    assert texts("<html><head><meta charset=utf-8><title>x</title><style>p {}</style><article><p>Main text</p></article></html>") == ["Main text"]
+    assert texts("<head><title>x</title>Main text") == ["Main text"] and texts("<head><title>x</title><p>a</p></head><p>b</p>") == ["b"]
+    for tag in ("noscript", "svg", "select", "template"):
+        assert texts(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"] and texts(f"<p>a</p><{tag}>x</{tag}><p>b</p>") == ["a", "b"]
+    assert texts("<svg><p>a</p><svg>x</svg><p>b</p>") == ["a", "b"] and texts("<svg>x<svg>y</svg>z</svg><p>b</p><svg/><p>c</p>") == ["b", "c"]
+    assert texts("<p>a</p><script>'</p>'") == ["a"] and len(texts("<svg " * 20_000 + "<select>" * 20_000)) <= 1
+
+
 def test_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
