@@ -156,14 +156,19 @@ def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set of the texts of the ids; written once, as each round reads some of them."""
+def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, set of the nodes (id, set_key, label); written once, as each round reads some of them.
+
+    Of the texts of the labels' doc_id only those with a node's set stay.
+    """
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], ["id", "set"])
+            sets = [shingles(t).tobytes() for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["set_key", "set"])
 
-    return shared_table(map_batches(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), run, "id long, set binary"), "sets")
+    read = docs.join(nodes.select("label").distinct(), docs["doc_id"] == F.col("label"), "left_semi").select("doc_id", "text")
+    return shared_table(map_batches(read, run, "set_key binary, set binary").join(nodes.select("id", "set_key"), "set_key").dropDuplicates(["set_key"]).select("id", "set"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,17 +247,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Null and empty texts, and texts without words, have no set: they are kept, linked with
-    nothing. Rows that repeat a doc_id share a node. A null doc_id is its own component (null) and kept.
+    nothing. Every distinct set is a node of its own; those of rows that repeat a doc_id are linked. A null doc_id is its own component (null) and kept.
     An empty table gives no rows. Other columns of docs are ignored.
     """
     sketches = shared_table(sketched(docs), "sketches")
-    same = sketches.filter("n > 0 and doc_id is not null").groupBy("set_key", "n").agg(F.min("doc_id").alias("id"))
-    # any row of the set has the set's minima and bands
-    nodes = shared_table(sketches.filter("n > 0").join(same.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "minima", "bands").dropDuplicates(["id"]), "nodes")
+    filled = sketches.filter("n > 0 and doc_id is not null")
+    # numbered once and written; any row of the set has the set's minima and bands
+    same = shared_table(filled.groupBy("set_key").agg(F.min("doc_id").alias("label")).withColumn("id", F.monotonically_increasing_id()), "same")
+    nodes = shared_table(filled.select("set_key", "n", "minima", "bands").dropDuplicates(["set_key"]).join(same, "set_key").select("id", "n", "minima", "bands"), "nodes")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
     members = shared_table(rows.join(shared, "key"), "members")
-    sets = _full_sets(docs, members.select("id").distinct())
+    sets = _full_sets(docs, same.join(members.select("id").distinct(), "id", "left_semi"))
     star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = links_of(star, nodes, sets)
     labels = components(links)
@@ -266,10 +272,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = _apart(members, labels)
     rest = _rarest(sets, left.select("id", "component", "n").distinct()).distinct()
     links = links.union(links_of(rest, nodes, sets))
-    of_node = components(links)
-
-    # sets of one node, then texts of one set
-    same = same.join(of_node, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    # sets of one doc_id, then texts of one set
+    own = shared_table(filled.join(same, "set_key").select("doc_id", "id").distinct(), "own")
+    repeated = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("doc_id", "a")
+    links = links.union(own.join(repeated, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")))
+    placed = same.join(components(links), "id", "left").select("set_key", "label", F.coalesce("component", "id").alias("component"))
+    same = placed.join(placed.groupBy("component").agg(F.min("label").alias("component_id")), "component").select("set_key", "component_id")
     found = sketches.select("doc_id", "n", "set_key").join(same, "set_key", "left")
     component = F.when(F.col("n") > 0, F.least("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)

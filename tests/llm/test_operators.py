@@ -110,6 +110,16 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_minhash_links_every_text_of_a_repeated_doc_id(spark):
+    r = np.random.default_rng(6)
+    one, two, three = (" ".join(r.choice([f"w{i}" for i in range(900)], 60)) for _ in range(3))
+    rows = [(5, one), (5, two), (7, one + " a"), (8, two + " b"), (9, three), (4, three + " c"), (4, one + " d"), (4, one + " d"), (3, "apart from all")]
+    got = sorted((x["doc_id"], x["component_id"], x["n_shingles"]) for x in minhash.near_duplicates(table(spark, rows)).collect())
+    assert got == sorted((i, 3 if i == 3 else 4, len(minhash.shingles(t))) for i, t in rows)
+    rows = [(5, one), (5, two), (7, two + " b"), (8, one + " a")]
+    assert {x["component_id"] for x in minhash.near_duplicates(table(spark, rows)).collect()} == {5}
+
+
 def test_bayesian_bound_keeps_pairs_of_the_threshold():
     r = np.random.default_rng(4)
     a = r.integers(0, 65_536, (20_000, minhash.BANDS * minhash.ROWS))
