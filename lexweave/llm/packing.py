@@ -15,12 +15,11 @@ from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexweave.llm.common import crc32, map_batches, texts, tokenizer_path
+from lexweave.llm.common import crc32, gathered, map_batches, tokenizer_path
 from lexweave.llm.wordcache import encoder
 
 #: Context sizes; a full window of any of them needs no padding.
@@ -110,17 +109,19 @@ def pack(docs: DataFrame, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        task = TaskContext.get()
+        code, task = encoder(path), TaskContext.get()
         packer = Packer(tiers, (task.partitionId() if task else 0) << 32, step_groups)
 
         def done():
             rows, packer.rows = packer.rows, []
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                packer.add(doc_id, code.encode(text) + end)
+        for batch in gathered(batches):
+            ids, ends = code.encode_all(batch.column("text"), end_id)
+            packed, begin = ids.tobytes(), 0
+            for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                packer.add(doc_id, packed[4 * begin : 4 * end])
+                begin = end
                 if packer.total > GATHER:
                     packer.pack(KEEP)
             if packer.rows:

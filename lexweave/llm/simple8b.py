@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import crc32, map_batches, shared_table, texts, tokenizer_path
+from lexweave.llm.common import crc32, gathered, map_batches, shared_table, tokenizer_path
 from lexweave.llm.wordcache import encoder
 
 MAGIC = 0x31423853  # "S8B1"
@@ -41,13 +41,16 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     values = values.astype(np.uint64)
-    width = np.searchsorted(_POWERS, values, side="right")
-    at = np.arange(n)
-    mode = np.zeros(n, np.int64)  # 0: escape
+    width = np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
+    mode, widest, taken = np.zeros(n, np.int64), width.copy(), 1  # mode 0: escape
     for k in range(len(COUNTS), 0, -1):  # growing counts; the larger wins
-        wide = width > BITS[k - 1]
-        reach = np.minimum.accumulate(np.where(wide, at, 2 * n + 64)[::-1])[::-1]  # the next value that doesn't fit
-        mode[reach - at >= COUNTS[k - 1]] = k  # also at the end, where what is missing counts as 0
+        while taken < COUNTS[k - 1] and taken < n:  # widest: of the value and of those after it, which count as 0 beyond the end
+            np.maximum(widest[: n - taken], width[taken:], out=widest[: n - taken])
+            taken += 1
+        fits = widest <= BITS[k - 1]
+        if not fits.any():  # nor will more values fit fewer bits
+            break
+        mode[fits] = k
     steps = np.array((1, *COUNTS))[mode].tolist()
     starts, i = [], 0
     while i < n:
@@ -138,54 +141,64 @@ def read_ids(block: bytes, first: int, count: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, end_id: int = 2, path: str | None = None, name: str = "simple8b") -> DataFrame:
     """Writes every text's ids and end_id in ascending doc_id order; returns the table of blocks, read back.
 
-    docs is dealt by ranges of doc_id and sorted within each (equal ids by text; null ids come
-    first), so one shuffle moves each text once; a task streams its texts into blocks and holds
-    one block at a time. Null and empty texts are the end id alone. An empty table gives no block.
+    docs is dealt by ranges of doc_id and sorted within each; null ids come first, and rows that
+    repeat an id go by a hash of their text, so that they too can be dealt to several tasks. One
+    shuffle moves each text once; a task streams its texts into blocks and holds a few batches
+    and one block at a time. Null and empty texts are the end id alone. An empty table gives no
+    block. Other columns of docs are ignored.
     """
     path = path or tokenizer_path()
 
     def run(batches):
-        code, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        task = TaskContext.get()
+        code, task = encoder(path), TaskContext.get()
         shard, before, k = task.partitionId() if task else 0, 0, 0
-        doc_ids, packed, held = [], [], 0
+        doc_ids, held, size = [], [], 0
 
         def block():
-            nonlocal before, k, doc_ids, packed, held
-            data = write_block(doc_ids, [len(p) // 4 for p in packed], np.frombuffer(b"".join(packed), "<u4"), before)
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([k], pa.int64()), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([data], pa.binary())})
-            before, k, doc_ids, packed, held = before + held, k + 1, [], [], 0
+            nonlocal before, k, doc_ids, held, size
+            data = write_block(doc_ids, [len(own) for own in held], np.concatenate(held), before)
+            row = pa.RecordBatch.from_pydict({
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([k], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([data], pa.binary()),
+            })
+            before, k, doc_ids, held, size = before + size, k + 1, [], [], 0
             return row
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = code.encode(text) + end
-                if held and held + len(ids) // 4 > BLOCK_IDS:
+        for batch in gathered(batches):
+            ids, ends = code.encode_all(batch.column("text"), end_id)
+            begin = 0
+            for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                if size and size + end - begin > BLOCK_IDS:
                     yield block()
-                doc_ids.append(doc_id), packed.append(ids)
-                held += len(ids) // 4
-        if held:
+                doc_ids.append(doc_id)
+                held.append(ids[begin:end])
+                size, begin = size + end - begin, end
+        if size:
             yield block()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", *order).sortWithinPartitions("doc_id", *order)
     return shared_table(map_batches(ordered, run, "shard int, block long, n_ids long, payload binary"), name)
 
 
-def read_tokens(blocks: DataFrame) -> DataFrame:
-    """doc_id, start (ids before it in all shards), n_tokens, ids_crc32, ids (binary) of each document."""
+def read_tokens(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before it in all shards), n_tokens, ids_crc32 of each document; with_ids: and ids (binary)."""
+    schema = "shard int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
         for batch in batches:
-            for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                doc_ids, lengths, ids, before = read_block(payload)
-                packed, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths).tolist()
+            for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload"), strict=True):
+                doc_ids, lengths, ids, before = read_block(payload.as_buffer())
+                packed, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(lengths).tolist()
                 own = [packed[4 * (e - n) : 4 * e] for e, n in zip(ends, lengths, strict=True)]
-                yield pa.RecordBatch.from_pydict({
+                columns = {
                     "shard": pa.array([shard] * len(own), pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "local": pa.array([before + e - n for e, n in zip(ends, lengths, strict=True)], pa.int64()),
-                    "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(map(crc32, own), pa.int64()), "ids": pa.array(own, pa.binary()),
-                })
+                    "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(map(crc32, own), pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(map(bytes, own), pa.binary())} if with_ids else {}))
 
-    rows = map_batches(blocks.select("shard", "payload"), run, "shard int, doc_id long, local long, n_tokens long, ids_crc32 long, ids binary")
+    rows = map_batches(blocks.select("shard", "payload"), run, schema)
     # one row a shard, so a row for each task of the writer: small whatever the ids
-    of_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(of_shard.select("shard", "first")), "shard").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    of_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    found = rows.join(F.broadcast(of_shard), "shard").withColumn("start", F.col("first") + F.col("local"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)

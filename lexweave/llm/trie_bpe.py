@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from lexweave.llm.common import map_batches, resident, texts, tokenizer_path
-from lexweave.llm.wordcache import LETTERS, MAX_WORD_BYTES, PIECES, PLAIN, pack, spelled
+from lexweave.llm.wordcache import LETTERS, PIECES, PLAIN, pack, spelled
 
 #: Bounds of a worker's memory: nodes of a trie before it is walked and dropped; words, pieces and pairs kept.
 MAX_NODES, MAX_KEPT = 300_000, 450_000
+#: Bytes of the longest word whose ids are kept.
+MAX_WORD_BYTES = 128
+_PLAIN = re.compile(PLAIN)
 
 
 class Merges:
@@ -192,7 +195,7 @@ class TrieEncoder:
 
     def pieces_of(self, word: str) -> list[str | int]:
         """The word's pieces in byte letters; a special token as its id."""
-        if PLAIN.fullmatch(word) and "<|" not in word:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
             return list(map(spelled, PIECES.findall(word.lower())))
         found: list[str | int] = []
         for part in self.cut.split(word):

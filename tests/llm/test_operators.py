@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,7 +43,7 @@ def test_word_encoder_and_trie_equal_the_library(library):
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("values", [[], [0], [2**64 - 1, 5, 2**60, 0], list(range(70_000)), [1] * 61, [49_407] * 10 + [2**63]])
+@pytest.mark.parametrize("values", [[], [0], [1] * 59, [3] * 30 + [70_000] + [1] * 200, np.random.default_rng(3).integers(0, 2**20, 5000) >> np.random.default_rng(4).integers(0, 20, 5000), [2**64 - 1, 5, 2**60, 0], list(range(70_000)), [1] * 61, [49_407] * 10 + [2**63]])
 def test_simple8b_round_trip(values):
     values = np.array(values, np.uint64)
     words, _ = simple8b.pack_words(values)
@@ -58,16 +59,30 @@ def test_blocks_round_trip_and_seek():
 
 
 def test_token_output(spark, library):
-    rows = simple8b.read_tokens(simple8b.write_tokens(table(spark, TEXTS))).collect()
+    rows = [*TEXTS, (7, "another text of seven"), (-3, " lead and trail \n"), (99, "\x1c\x85 é"), *[(50, f"hot {k}") for k in range(300)]]
+    want = [(i, packed([*library.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in rows]
+    blocks = simple8b.write_tokens(table(spark, rows))
+    got = sorted(simple8b.read_tokens(blocks).collect(), key=lambda r: r["start"])
+    assert sorted(((r["doc_id"], bytes(r["ids"])) for r in got), key=repr) == sorted(want, key=repr)
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     at = 0
-    for r in sorted(rows, key=lambda r: r["start"]):
-        ids = np.frombuffer(r["ids"], "<u4")
-        assert r["start"] == at and r["ids_crc32"] == zlib.crc32(r["ids"]) and ids[-1] == 2
+    for r in got:
+        assert r["start"] == at and r["ids_crc32"] == zlib.crc32(r["ids"]) and r["n_tokens"] == len(r["ids"]) // 4
         at += r["n_tokens"]
-    assert len(rows) == len(TEXTS)
+    assert simple8b.read_tokens(blocks, with_ids=False).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert simple8b.read_tokens(simple8b.write_tokens(table(spark, []))).count() == 0
 
 
+def test_words_of_texts():
+    texts = [" a\x0bb \x1cc\x85 d\f\r", None, "", " \n", "B a b\u2003c", "A"]
+    for lower in (False, True):
+        distinct, numbers, ends = common.words_of(pa.array(texts), lower)
+        words = [distinct[int(k)].as_py().decode() for k in numbers]
+        for k, t in enumerate(texts):
+            t = (t or "").encode().lower().decode() if lower else t or ""
+            assert words[ends[k] : ends[k + 1]] == re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
 def test_exact_dedup_with_clashing_digests(spark):
     rows = TEXTS + [(20, "a b"), (21, "ab"), (22, "a  b"), (23, "ba")]
     for digest in (exact_dedup.digest, lambda c: (__import__("pyspark.sql.functions", fromlist=["x"]).length(c) % 2).cast("string")):
@@ -177,20 +192,43 @@ def test_pii_selection_leaves_the_words_after_an_address(spark):
 
 
 def test_packing(spark, library):
-    rows = packing.pack(table(spark, TEXTS)).collect()
-    assert sum(r["length"] for r in rows) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in TEXTS)
-    sequences = {}
+    texts = [(i, t) for i, t in TEXTS if i != 12] + [(20, "word " * 9000), (21, "tail end")]
+    rows = packing.pack(table(spark, texts).coalesce(1)).collect()
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts}
+    pieces, sequences = {}, {}
     for r in rows:
-        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert pieces.keys() == want.keys()
+    for i, own in pieces.items():  # each id lies in exactly one piece
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(want[i])
+            assert r["ids_crc32"] == zlib.crc32(packed(want[i][at : at + r["length"]]))
+            at += r["length"]
+        assert at == len(want[i])
+    padding = 0
     for own in sequences.values():
         at = 0
-        for offset, length in sorted(own):
-            assert offset == at
-            at += length
-        assert at <= 2048
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048 and len({(r["context"], r["step_group"]) for r in own}) == 1
+        padding += 0 if at in packing.TIERS else 2048 - at
+    assert padding <= 2048 and len(sequences) < sum(map(len, want.values())) / 64
+    again = packing.pack(table(spark, TEXTS)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in again}[12] == 2 * (1 + len(library.encode("x" * 50_000, add_special_tokens=False).ids))
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_codec_over_tables(spark, library):
+    got = trie_bpe.encode_decode(table(spark, TEXTS)).collect()
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    want = [(i, packed(ids(t)), library.decode(ids(t), skip_special_tokens=False)) for i, t in TEXTS]
+    assert sorted(((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert trie_bpe.encode_decode(table(spark, [])).count() == 0
+
+
 def test_line_rules(spark):
     text = "a b c d e f. a b c d e g. a b c d e\nsame line\nsame line\n"
     n, chars, signs, dup, repeat, failed, _, clean = line_rules.judge(text)
