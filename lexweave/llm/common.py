@@ -151,6 +151,18 @@ def resident(key, make: Callable):
     return _RESIDENT[key]
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column (whatever its case) is called so."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def crc32_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

@@ -21,7 +21,9 @@ threshold shares no bucket is (1 - 0.75^4)^32, 5 in a million.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import map_batches, resident, shared_table, texts
+from lexweave.llm.common import gathered, map_batches, passing_tables, shared_table, words_of
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -37,20 +39,9 @@ BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-6
 #: Rounds of stars around random members.
 STARS = 2
-MAX_WORDS, MAX_WORD_BYTES = 200_000, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """word -> its 64-bit hash, as bytes."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        h = xxhash.xxh3_64_digest(word)
-        if len(word) <= MAX_WORD_BYTES:
-            self[word] = h
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,20 +49,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each whole text the distinct 5-word shingles, hashed and ascending; a shorter text is one, no words none."""
+    distinct, numbers, ends = words_of(texts, lower=True)
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, distinct.to_pylist())), "<u8").astype(np.uint64)
+    for begin, end in itertools.pairwise(ends.tolist()):
+        words = hashed[numbers[begin:end]]
+        n = min(SHINGLE, len(words))
+        if not n:
+            yield words
+            continue
+        many = len(words) - n + 1
+        h = np.full(many, np.uint64(n))
+        for k in range(n):
+            h = mixed(h * _ODD + words[k : k + many])
+        yield np.unique(h)
+
+
 def shingles(text: str) -> np.ndarray:
-    """The distinct 5-word shingles of the whole text, hashed and ascending; a shorter text is one, no words none."""
-    known = resident("shingles", WordHashes)
-    if len(known) > MAX_WORDS:
-        known.clear()
-    words = np.frombuffer(b"".join(map(known.__getitem__, text.encode("utf-8").lower().split())), "<u8").astype(np.uint64)
-    n = min(SHINGLE, len(words))
-    if not n:
-        return words
-    many = len(words) - n + 1
-    h = np.full(many, np.uint64(n))
-    for k in range(n):
-        h = mixed(h * _ODD + words[k : k + many])
-    return np.unique(h)
+    """The set of one text."""
+    return next(shingle_sets(pa.array([text], pa.string())))
 
 
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +92,9 @@ def sketched(docs: DataFrame) -> DataFrame:
     turn = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)
 
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches):
             n, keys, bands, low = [], [], [], []
-            for text in texts(batch):
-                s = shingles(text)
+            for s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 if not len(s):
                     keys.append(None), bands.append(None), low.append(None)
@@ -109,7 +105,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                     h = mixed(h * _ODD + column)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(h.view(np.int64)), low.append(m.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n", "set_key", "bands", "minima"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_key", "bands", "minima"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, set_key binary, bands array<long>, minima binary")
 
@@ -164,7 +161,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in texts(batch)]
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["set_key", "set"])
 
     read = docs.join(nodes.select("label").distinct(), docs["doc_id"] == F.col("label"), "left_semi").select("doc_id", "text")
@@ -238,25 +235,37 @@ def _sizes_allow(n, m):
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component."""
-    placed = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = shared_table(members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    return shared_table(placed.join(several, "key"), "apart")
+    return shared_table(placed.join(shared_table(several, "several"), "key"), "apart")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Null and empty texts, and texts without words, have no set: they are kept, linked with
-    nothing. Every distinct set is a node of its own; those of rows that repeat a doc_id are linked. A null doc_id is its own component (null) and kept.
-    An empty table gives no rows. Other columns of docs are ignored.
+    nothing. Every distinct set is a node of its own; those of rows that repeat a doc_id are
+    linked. A null doc_id is its own component (null) and kept. An empty table gives no rows.
+    Other columns of docs are ignored. The result is written to the shared folder; the tables on
+    the way to it are removed.
+
+    What is joined by a bucket's key is written before: a join of two read tables has nothing
+    that binds a key to one task, so that Spark splits a bucket that holds very many.
     """
+    with passing_tables(docs.sparkSession) as keep:
+        found = shared_table(_components_of(docs), "near-duplicates")
+        keep(found)
+    return found
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
     sketches = shared_table(sketched(docs), "sketches")
     filled = sketches.filter("n > 0 and doc_id is not null")
     # numbered once and written; any row of the set has the set's minima and bands
     same = shared_table(filled.groupBy("set_key").agg(F.min("doc_id").alias("label")).withColumn("id", F.monotonically_increasing_id()), "same")
     nodes = shared_table(filled.select("set_key", "n", "minima", "bands").dropDuplicates(["set_key"]).join(same, "set_key").select("id", "n", "minima", "bands"), "nodes")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
+    shared = shared_table(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub"), "shared")
     members = shared_table(rows.join(shared, "key"), "members")
     sets = _full_sets(docs, same.join(members.select("id").distinct(), "id", "left_semi"))
     star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -265,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for turn in range(1, STARS + 1):
         left = _apart(members, labels)
         order = F.xxhash64("id", "key", F.lit(turn))
-        hubs = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "n")).alias("hub"))
+        hubs = shared_table(left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "n")).alias("hub")), "hubs")
         met = left.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).filter(_sizes_allow(F.col("n"), F.col("hub.n")))
         links = links.union(links_of(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), nodes, sets))
         labels = components(links)
@@ -276,8 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = shared_table(filled.join(same, "set_key").select("doc_id", "id").distinct(), "own")
     repeated = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("doc_id", "a")
     links = links.union(own.join(repeated, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")))
-    placed = same.join(components(links), "id", "left").select("set_key", "label", F.coalesce("component", "id").alias("component"))
-    same = placed.join(placed.groupBy("component").agg(F.min("label").alias("component_id")), "component").select("set_key", "component_id")
+    placed = shared_table(same.join(components(links), "id", "left").select("set_key", "label", F.coalesce("component", "id").alias("component")), "placed")
+    smallest = shared_table(placed.groupBy("component").agg(F.min("label").alias("component_id")), "smallest")
+    same = placed.join(smallest, "component").select("set_key", "component_id")
     found = sketches.select("doc_id", "n", "set_key").join(same, "set_key", "left")
     component = F.when(F.col("n") > 0, F.least("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
