@@ -13,13 +13,14 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexweave.llm.common import map_batches
+from lexweave.llm.common import map_batches, words_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
@@ -39,6 +40,8 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 IMPLIED = frozenset("p li dt dd tr td th option".split())
 PATH_WIDE, WORD_WIDE, FIGURES, HIDDEN = 96, 48, 8, 24
 WIDE = PATH_WIDE + WORD_WIDE + FIGURES
+#: Blocks (pages times blocks of each) whose vectors are held at a time, and pages read side by side.
+CELLS, PAGES = 1 << 14, 128
 
 
 def hidden(page: str) -> dict[int, int]:
@@ -57,15 +60,21 @@ def hidden(page: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path names, text, characters in links) of each non-empty block, in page order."""
-    found, stack, parts, linked, link = [], [], [], 0, 0
+@lru_cache(1 << 16)
+def _path_bit(name: str) -> int:
+    return 1 << zlib.crc32(f"p{name}".encode()) % PATH_WIDE
+
+
+def blocks(page: str) -> list[tuple[int, str, int]]:
+    """(path, text, characters in links) of each non-empty block, in page order; a path is a set of
+    hashed names, as bits, so that deep pages cost no more than flat ones."""
+    found, stack, opened, parts, linked, link = [], [(0, "")], Counter(), [], 0, 0
 
     def close():
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append((tuple(n for names, _ in stack for n in names), text, linked))
+            found.append((stack[-1][0], text, linked))
         parts, linked = [], 0
 
     at, ends = 0, hidden(page)
@@ -87,16 +96,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         close()
         if m[2]:
-            if any(t == tag for _, t in stack):
-                while stack.pop()[1] != tag:
-                    pass
+            while opened[tag]:
+                last = stack.pop()[1]
+                opened[last] -= 1
+                if last == tag:
+                    break
         elif tag not in EMPTY:
-            if tag in IMPLIED and stack and stack[-1][1] == tag:
+            if tag in IMPLIED and stack[-1][1] == tag:
                 stack.pop()
-            names = [tag]
+                opened[tag] -= 1
+            path = stack[-1][0] | _path_bit(tag)
             for a in ATTRIBUTE.finditer(m[4]):
-                names += NAME.findall((a[2] or a[3] or a[4] or "").lower())
-            stack.append((names, tag))
+                for name in NAME.findall((a[2] or a[3] or a[4] or "").lower()):
+                    path |= _path_bit(name)
+            stack.append((path, tag))
+            opened[tag] += 1
     if at < len(page):
         parts.append(page[at:])
         linked += (len(page) - at) * (link > 0)
@@ -104,26 +118,33 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return found
 
 
-@lru_cache(1 << 16)
-def _slot(kind: str, name: str, wide: int) -> int:
-    return zlib.crc32(f"{kind}{name}".encode()) % wide
-
-
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """A row for each block."""
-    x = np.zeros((len(page), WIDE), np.float32)
-    for k, (path, text, linked) in enumerate(page):
-        for name in path:
-            x[k, _slot("p", name, PATH_WIDE)] = 1
-        words = text.split()
-        for w in words[:64] if len(words) <= 64 else words[:: len(words) // 64]:  # a vector of the words' kinds, not of all their counts
-            x[k, PATH_WIDE + _slot("w", w.lower()[:12], WORD_WIDE)] += 1
-        x[k, PATH_WIDE : PATH_WIDE + WORD_WIDE] /= max(1, min(64, len(words))) / 4
-        n = len(text)
-        x[k, -FIGURES:] = np.log1p(n) / 6, np.log1p(len(words)) / 4, min(1, linked / n), sum(text.count(c) for c in ".,;:!?") / (len(words) + 1), text[-1] in ".!?:", (k + 0.5) / len(page), text[0].isupper(), 1
+def vectors(some: list[tuple[int, str, int]], place: np.ndarray) -> np.ndarray:
+    """A row for each block; place: where it stands in its page, from 0 to 1.
+
+    The word part is the mean over all words of the block, each hashed whole.
+    """
+    x = np.zeros((len(some), WIDE), np.float32)
+    if not some:
+        return x
+    paths = np.frombuffer(b"".join(path.to_bytes(PATH_WIDE // 8, "little") for path, _, _ in some), np.uint8)
+    x[:, :PATH_WIDE] = np.unpackbits(paths.reshape(len(some), -1), axis=1, bitorder="little")
+    texts = [text for _, text, _ in some]
+    distinct, numbers, ends = words_of(pa.array([t.lower() for t in texts], pa.string()))
+    slots = np.fromiter((zlib.crc32(w) % WORD_WIDE for w in distinct.to_pylist()), np.int64, len(distinct))[numbers]
+    words = np.diff(ends)
+    counts = np.bincount(np.repeat(np.arange(len(some)), words) * WORD_WIDE + slots, minlength=len(some) * WORD_WIDE)
+    x[:, PATH_WIDE : PATH_WIDE + WORD_WIDE] = 4 * counts.reshape(len(some), -1) / np.maximum(1, words)[:, None]
+    n, linked = (np.fromiter(v, float, len(some)) for v in (map(len, texts), (k for _, _, k in some)))
+    marks = np.fromiter((sum(t.count(c) for c in ".,;:!?") for t in texts), float, len(some))
+    ended, upper = (np.fromiter(v, float, len(some)) for v in ((t[-1] in ".!?:" for t in texts), (t[0].isupper() for t in texts)))
+    x[:, -FIGURES:] = np.stack([np.log1p(n) / 6, np.log1p(words) / 4, np.minimum(1, linked / n), marks / (words + 1), ended, place, upper, np.ones(len(some))], axis=1)
     return x
 
 
+def page_vectors(page: list[tuple[int, str, int]]) -> np.ndarray:
+    return vectors(page, (np.arange(len(page)) + 0.5) / max(1, len(page)))
+
+
 class Network:
     """Two LSTMs, one each way, and a logistic unit; trained by Adam through time."""
 
@@ -173,9 +194,49 @@ class Network:
             dh, dc = z @ w[WIDE:].T + keep, dc2 * f + dc * (1 - m)
         grad[f"W{d}"], grad[f"B{d}"] = gw, gb
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._read(x, mask, "f")[0], self._read(x, mask, "b")[0]], axis=2)
-        return self._sigmoid(both @ self.p["V"] + self.p["c"])
+    def _scan(self, x: np.ndarray, mask: np.ndarray, d: str, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _read, from given states and without the tape; the last states too."""
+        w, b = self.p[f"W{d}"], self.p[f"B{d}"]
+        given, out = x @ w[:WIDE] + b, np.empty((*x.shape[:2], HIDDEN), np.float32)
+        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
+            z = given[:, t] + h @ w[WIDE:]
+            gates, m = self._sigmoid(z[:, : 3 * HIDDEN]), mask[:, t, None]
+            c2 = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+            h, c = m * gates[:, 2 * HIDDEN :] * np.tanh(c2) + (1 - m) * h, m * c2 + (1 - m) * c
+            out[:, t] = h
+        return out, h, c
+
+    def main_text(self, pages: list[list[tuple[int, str, int]]], cells: int = CELLS) -> list[np.ndarray]:
+        """For each page of blocks whether each is main text.
+
+        The pages are read side by side in windows of at most `cells` blocks, first to last and
+        back; from window to window go the networks' states alone, so that memory is bounded by
+        `cells` whatever the pages' lengths, and the outcome doesn't depend on the windows.
+        """
+        long = max(map(len, pages))
+        step = max(1, cells // len(pages))
+        odds = np.full((len(pages), long), self.p["c"][0], np.float32)
+        starts, last = range(0, long, step), None
+
+        def window(a: int) -> tuple[np.ndarray, np.ndarray]:
+            own = [p[a : a + step] for p in pages]
+            wide = min(step, long - a)
+            x, mask = np.zeros((len(pages), wide, WIDE), np.float32), np.zeros((len(pages), wide), np.float32)
+            place = np.concatenate([(a + np.arange(len(o)) + 0.5) / max(1, len(p)) for o, p in zip(own, pages, strict=True)])
+            rows, begin = vectors([b for o in own for b in o], place), 0
+            for k, o in enumerate(own):
+                x[k, : len(o)], mask[k, : len(o)] = rows[begin : begin + len(o)], 1
+                begin += len(o)
+            return x, mask
+
+        for d, order, v in (("f", starts, self.p["V"][:HIDDEN]), ("b", reversed(starts), self.p["V"][HIDDEN:])):
+            h = c = np.zeros((len(pages), HIDDEN), np.float32)
+            for a in order:
+                if last is None or last[0] != a:
+                    last = a, window(a)
+                out, h, c = self._scan(*last[1], d, h, c)
+                odds[:, a : a + step] += out @ v
+        return [odds[k, : len(p)] >= 0 for k, p in enumerate(pages)]
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, size: int = 24, rate: float = 0.01, seed: int = 9) -> Network:
         r, step = np.random.default_rng(seed), 0
@@ -302,15 +363,16 @@ def trained(pages: int = 900) -> Network:
         page, labels = written_page(r)
         found = blocks(page)
         if len(found) == len(labels) and found:
-            made.append((vectors(found), np.array(labels, np.float32)))
+            made.append((page_vectors(found), np.array(labels, np.float32)))
     return Network().train(made)
 
 
-def extract(pages: DataFrame, network: Network | None = None, group: int = 128) -> DataFrame:
+def extract(pages: DataFrame, network: Network | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page; a map over partitions.
 
     Null and empty pages, and pages without a block of main text, give an empty text; repeated
-    rows are read each; other columns are ignored.
+    rows are read each; an empty table gives no rows; other columns are ignored. A very long page
+    is read whole, in windows, so that a task holds its blocks' texts and CELLS vectors.
     """
     network = network or trained()
     sent = pages.sparkSession.sparkContext.broadcast(network)
@@ -320,11 +382,12 @@ def extract(pages: DataFrame, network: Network | None = None, group: int = 128)
             found = [blocks(p or "") for p in batch.column("html").to_pylist()]
             out = [""] * len(found)
             order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
-            for a in range(0, len(order), group):
-                some = order[a : a + group]
-                keep = sent.value.probabilities(*padded([vectors(found[k]) for k in some])) >= 0.5
-                for row, k in enumerate(some):
-                    out[k] = "\n".join(text for (_, text, _), main in zip(found[k], keep[row], strict=False) if main)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            while order:  # pages of like lengths side by side, no more than their longest lets into CELLS
+                some = order[-max(1, min(PAGES, CELLS // len(found[order[-1]]))) :]
+                del order[-len(some) :]
+                for k, keep in zip(some, sent.value.main_text([found[k] for k in some]), strict=True):
+                    out[k] = "\n".join(text for (_, text, _), main in zip(found[k], keep, strict=True) if main)
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
