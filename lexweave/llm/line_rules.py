@@ -23,6 +23,8 @@ ENDS = (".", "!", "?", "…", ":", ";", '"', "'", "”", "»", ")", "]")
 MENU = re.compile(r"\s[|»›•·>]\s")
 #: A line fails beyond these shares: of signs among its characters, of words in capitals, of words that end in the same sign run.
 MAX_SYMBOLS, MAX_CAPITALS, MAX_BANGS = 0.08, 0.6, 0.4
+#: A line fails if boilerplate phrases are at least this share of its characters; less of them is part of its prose.
+MIN_BOILERPLATE = 0.06
 #: A text is rejected if its lines lose more than this share of its characters in words.
 MAX_LOST = 0.5
 
@@ -30,7 +32,8 @@ MAX_LOST = 0.5
 def line_fails(line: str, words: list[str]) -> str:
     """The first rule that the line fails, or nothing."""
     n = len(words)
-    if BOILERPLATE.search(line) and n <= 40:
+    phrases = sum(map(len, BOILERPLATE.findall(line)))
+    if phrases and phrases >= MIN_BOILERPLATE * len(line):
         return "boilerplate"
     if len(MENU.findall(line)) >= max(3, n // 8):
         return "navigation"
@@ -94,19 +97,22 @@ def judge(text: str) -> tuple:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, clean_text string"
 
 
-def assess(docs: DataFrame) -> DataFrame:
+def assess(docs: DataFrame, clean: bool = True) -> DataFrame:
     """One row a document: counts, verdicts, and the text without its failing lines.
 
     A map over partitions. Null counts as an empty text, which fails (no words); repeated rows
-    are judged each; an empty table gives no rows; other columns are ignored.
+    are judged each; an empty table gives no rows; other columns are ignored; a very long text is
+    judged whole. clean: whether the text is made and returned.
     """
 
+    schema = SCHEMA.split(", ")[: None if clean else -1]
+
     def run(batches):
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        kinds = [*[pa.int64()] * 5, *[pa.bool_()] * 2, *[pa.string()] * clean]
+        names = [c.split()[0] for c in schema]
         for batch in batches:
             if batch.num_rows:
-                columns = zip(*map(judge, texts(batch)), strict=True)
+                columns = [*zip(*map(judge, texts(batch)), strict=True)][: len(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, ", ".join(schema))

@@ -56,7 +56,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.assess(common.table(spark, sf_dir, "documents")).drop("clean_text")
+    return line_rules.assess(common.table(spark, sf_dir, "documents"), clean=False)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
