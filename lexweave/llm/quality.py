@@ -64,17 +64,23 @@ class Model:
         return np.clip(np.interp(self.features(x) @ self.weight, *self.steps), 0, 1)
 
 
-def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing fit of label to raw; blocks are named by their mean raw score."""
+def pooled(raw: np.ndarray, label: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """(sum of labels, sum of raw, count, lowest raw) of the blocks of the non-decreasing fit of label to raw."""
     order = np.argsort(raw, kind="stable")
-    blocks: list[list[float]] = []  # sum of labels, sum of raw, count
+    blocks: list[tuple[float, float, float, float]] = []
     for x, y in zip(raw[order].tolist(), label[order].tolist(), strict=True):
-        blocks.append([y, x, 1.0])
+        blocks.append((y, x, 1.0, x))
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
-            y2, x2, n2 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + y2, blocks[-1][1] + x2, blocks[-1][2] + n2]
+            (y1, x1, n1, low), (y2, x2, n2, _) = blocks[-2:]
+            blocks[-2:] = [(y1 + y2, x1 + x2, n1 + n2, low)]
+    return blocks
+
+
+def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing fit of label to raw; blocks are named by their mean raw score."""
+    blocks = pooled(raw, label)
     # one pseudo-count of either class keeps the ends off 0 and 1
-    return np.array([x / n for _, x, n in blocks]), np.array([(y + 0.5) / (n + 1) for y, _, n in blocks])
+    return np.array([x / n for _, x, n, _ in blocks]), np.array([(y + 0.5) / (n + 1) for y, _, n, _ in blocks])
 
 
 def _summed(sample: DataFrame, part) -> np.ndarray:
