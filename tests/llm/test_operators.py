@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -335,22 +336,60 @@ def test_html_elements_without_end_tags_keep_the_page():
     assert texts("<p>a</p><script>'</p>'") == ["a"] and len(texts("<svg " * 20_000 + "<select>" * 20_000)) <= 1
 
 
-def test_scores(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return [spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels")]
+
+
+def test_quality(spark, labelled):
+    docs, labels = labelled
     model = quality.fit(docs, labels)
     held = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
     scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
     assert np.mean([(scores[i] >= 0.7) == (q == 1) for i, q in held.items()]) > 0.93
-    toxic = toxicity.fit(toxicity.training_rows(docs, labels))
+    assert quality.score(table(spark, TEXTS), model).filter("score between 0 and 1").count() == len(TEXTS)
+    assert quality.score(table(spark, []), model).count() == 0
+    for d, x in ((docs, labels.limit(0)), (docs.limit(0), labels)):  # nothing to learn from
+        assert [r["score"] for r in quality.score(table(spark, TEXTS), quality.fit(d, x)).select("score").distinct().collect()] == [0.5]
+
+
+def test_toxicity(spark, labelled):
+    docs, labels = labelled
+    rows = toxicity.training_rows(docs, labels)
+    model = toxicity.fit(rows)
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
-    z = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxic).collect()}
+    z = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     pairs = [(z[a] > z[b]) + 0.5 * (z[a] == z[b]) for a, x in truth.items() if x for b, y in truth.items() if not y]
-    assert np.mean(pairs) > 0.75
-    for scored in (quality.score(table(spark, TEXTS), model), toxicity.score(table(spark, TEXTS), toxic)):
-        assert scored.filter("score between 0 and 1").count() == len(TEXTS)
+    assert np.mean(pairs) > 0.85
+    flagged = [truth[i] for i in truth if z[i] >= toxicity.THRESHOLD]
+    assert np.mean(flagged) > 0.9 and sum(flagged) > 0.6 * sum(truth.values())
+    got = toxicity.score(table(spark, TEXTS), model)
+    assert got.filter("score between 0 and 1").count() == len(TEXTS) and toxicity.score(table(spark, []), model).count() == 0
     assert toxicity.score(table(spark, TEXTS), toxicity.fit([])).filter("score >= 0.7").count() == 0
-    assert toxicity.keep_clean(table(spark, TEXTS), toxic).columns == table(spark, []).columns
+    kept = toxicity.keep_clean(table(spark, [*TEXTS, (77, LONG + "you stupid idiot"), (78, "Idiot!")]), model)
+    assert kept.columns == table(spark, []).columns and sorted((r["doc_id"] for r in kept.select("doc_id").collect()), key=repr) == sorted((i for i, _ in TEXTS), key=repr)
+    assert toxicity.training_rows(docs.limit(0), labels) == toxicity.training_rows(docs, labels.limit(0)) == []
+    short = toxicity.training_rows(docs, labels, most_bytes=20_000)
+    assert 0 < sum(len(t.encode()) for t, _ in short) <= 20_000 and set(short) <= set(rows)
+    for text in ("stupid", "STUPID!!", "a stupid, b", "", "\n \n", "x" * 9999):  # alone as among others
+        alone, among = toxicity.Scorer(model).score(pa.array([text]))[0], toxicity.Scorer(model).score(pa.array(["a b", None, text, "", text, "c"]))
+        assert np.isclose(alone, among[2]) and np.isclose(alone, among[4])
+
+
+def test_toxicity_finds_misspellings_that_training_never_saw():
+    read = lambda name, c: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet", columns=["doc_id", c]).to_pylist()
+    text, toxic = {r["doc_id"]: r["text"] or "" for r in read("documents", "text")}, {r["doc_id"]: r["toxic"] for r in read("labels", "toxic")}
+    rows = [(text[i], toxic[i] == 1) for i in sorted(toxic) if zlib.crc32(str(i).encode()) % 3 != 1]
+    seen = {w for t, _ in rows for w in re.findall(r"\w+", t.lower())}
+    scorer, r = toxicity.Scorer(toxicity.fit(rows)), np.random.default_rng(5)
+    variants = []
+    for w in ("pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "trash"):
+        every = {w[:k] + c + w[k + d :] for k in range(len(w)) for c, d in ((w[k], 0), ("", 1), ("x", 1), (w[k + 1 : k + 2] + w[k], 2))}
+        variants += sorted(every - seen - {w})
+    assert np.mean(scorer.score(pa.array([f"well then {v} indeed" for v in variants])) >= toxicity.THRESHOLD) > 0.55
+    clean = [text[i].split()[:200] for i in sorted(toxic) if not toxic[i] and zlib.crc32(str(i).encode()) % 3 == 1][:200]
+    odd = [" ".join(toxicity.misspelled(w, r) if r.random() < 0.3 else w for w in t) for t in clean]
+    assert np.mean(scorer.score(pa.array(odd)) >= toxicity.THRESHOLD) < 0.05
 
 
 def test_worker_keeps_one_memory_at_a_time():
