@@ -369,8 +369,11 @@ def contexts(docs: DataFrame, most: int = LENDERS, words: int = 40) -> list[list
     """Passages of at most `words` words of `most` texts, the first by a hash of the text, from a place that the hash chooses."""
     listed = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+")
     place = F.pmod(F.xxhash64("text"), F.greatest(F.size(listed) - words, F.lit(1))) + 1
-    chosen = docs.select("text").orderBy(F.xxhash64("text", F.lit(1))).limit(most)
-    passages = chosen.select(F.transform(F.slice(listed, place.cast("int"), words), lambda w: F.left(w, F.lit(24))).alias("words"))
+    # of 2^30 hash values so many that some eight times `most` texts are left to sort, whatever the number of all
+    share = min(1 << 30, (8 * most << 30) // max(1, docs.count()) + 1)
+    few = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 30)) < share)
+    passages = few.select(F.xxhash64("text", F.lit(1)).alias("place"), F.transform(F.slice(listed, place.cast("int"), words), lambda w: F.left(w, F.lit(24))).alias("words"))
+    passages = passages.orderBy("place", "words").limit(most)
     # no digits and signs of addresses: the numbers of the contexts themselves have no label
     return sorted([w for w in r["words"] if w and not any(c in "0123456789@()[]{}" for c in w)] for r in passages.collect())
 
