@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 #: Minima compared at a time, and the chance of dropping a pair of the threshold that each batch may add.
 BATCH, MISS = 16, 1e-6
 #: Rounds of stars around random members.
-STARS = 2
+STARS = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,6 +207,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component after more links: only the components that these bring together are worked on."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    all_ = shared_table(labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))), "labels")
+    of = lambda end: all_.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    met = links.join(of("a"), "a").join(of("b"), "b").filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    up = components(met).select(F.col("id").alias("component"), F.col("component").alias("up"))
+    return shared_table(all_.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
+
+
 def _rarest(sets: DataFrame, apart: DataFrame) -> DataFrame:
     """Pairs (a, b) of the ids (id, component, n) in different components that share one of their rarest shingles."""
 
@@ -262,30 +272,29 @@ def _components_of(docs: DataFrame) -> DataFrame:
     sketches = shared_table(sketched(docs), "sketches")
     filled = sketches.filter("n > 0 and doc_id is not null")
     # numbered once and written; any row of the set has the set's minima and bands
-    same = shared_table(filled.groupBy("set_key").agg(F.min("doc_id").alias("label")).withColumn("id", F.monotonically_increasing_id()), "same")
-    nodes = shared_table(filled.select("set_key", "n", "minima", "bands").dropDuplicates(["set_key"]).join(same, "set_key").select("id", "n", "minima", "bands"), "nodes")
+    of_set = filled.groupBy("set_key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands"))
+    nodes = shared_table(of_set.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    same = nodes.select("id", "set_key", "label")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = shared_table(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub"), "shared")
     members = shared_table(rows.join(shared, "key"), "members")
     sets = _full_sets(docs, same.join(members.select("id").distinct(), "id", "left_semi"))
     star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = links_of(star, nodes, sets)
-    labels = components(links)
+    labels = components(links_of(star, nodes, sets))
     for turn in range(1, STARS + 1):
         left = _apart(members, labels)
         order = F.xxhash64("id", "key", F.lit(turn))
         hubs = shared_table(left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "n")).alias("hub")), "hubs")
         met = left.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).filter(_sizes_allow(F.col("n"), F.col("hub.n")))
-        links = links.union(links_of(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), nodes, sets))
-        labels = components(links)
+        labels = joined(labels, links_of(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), nodes, sets))
     left = _apart(members, labels)
     rest = _rarest(sets, left.select("id", "component", "n").distinct()).distinct()
-    links = links.union(links_of(rest, nodes, sets))
+    labels = joined(labels, links_of(rest, nodes, sets))
     # sets of one doc_id, then texts of one set
     own = shared_table(filled.join(same, "set_key").select("doc_id", "id").distinct(), "own")
     repeated = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("doc_id", "a")
-    links = links.union(own.join(repeated, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")))
-    placed = shared_table(same.join(components(links), "id", "left").select("set_key", "label", F.coalesce("component", "id").alias("component")), "placed")
+    labels = joined(labels, shared_table(own.join(repeated, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")), "repeated"))
+    placed = shared_table(same.join(labels, "id", "left").select("set_key", "label", F.coalesce("component", "id").alias("component")), "placed")
     smallest = shared_table(placed.groupBy("component").agg(F.min("label").alias("component_id")), "smallest")
     same = placed.join(smallest, "component").select("set_key", "component_id")
     found = sketches.select("doc_id", "n", "set_key").join(same, "set_key", "left")
