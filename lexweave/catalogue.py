@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from lexweave.functions import text_tr as t
 from lexweave.functions import validators
 from lexweave.operators import chunking, entities, graph, pii_tr, ranking, relational
 from lexweave.sources import loaders
+from lexweave.sources.shared import saved as _saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -41,14 +40,6 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _saved(table: DataFrame) -> DataFrame:
-    """Writes table to the folder that driver and executors share and reads it back; a local one only where none is configured."""
-    spark = table.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexweave-')).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 def _values(spark: SparkSession, values: list, schema: str = "x string") -> DataFrame:
     return spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema)
 
@@ -74,7 +65,7 @@ _BM25_SQL = """
 
 
 def _bm25(docs: DataFrame) -> DataFrame:
-    return ranking.bm25_top(docs, "the thand erea the", 10, "doc_id", "text", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.bm25_top(docs, "the thand erea the", 10, order="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -141,7 +132,7 @@ def vector_topk(spark, d):
 
 def _hybrid(spark, d) -> DataFrame:
     by_vector = ranking.ranked(ranking.cosine_top(_read(spark, d, "embeddings"), _query_vector(spark, d), 10, order="vec_id"), "vec_id", "vec_id")
-    by_word = ranking.ranked(ranking.bm25_top(_read(spark, d, "documents"), "the thand erea the", 10, "doc_id", "text", "doc_id"), "doc_id", "doc_id")
+    by_word = ranking.ranked(ranking.bm25_top(_read(spark, d, "documents"), "the thand erea the", 10, order="doc_id"), "doc_id", "doc_id")
     return ranking.fuse([by_vector, by_word])
 
 
@@ -252,9 +243,9 @@ def pii_vault(spark, d):
     return pii_tr.vault(_letters(spark)).select("pii_type", "placeholder", "first_seq")
 
 
-@query("SELECT * FROM (VALUES (1, 'IBAN', '[IBAN_1]'), (2, 'TCKN', '[TCKN_1]'), (3, 'EMAIL', '[EMAIL_1]'), (4, 'PHONE', '[PHONE_1]'), (5, 'TCKN', '[TCKN_2]'), (6, 'VKN', '[VKN_1]'), (7, 'IBAN', '[IBAN_2]')) AS v(seq, pii_type, placeholder)")
+@query("SELECT * FROM (VALUES (1, 'REDACT', 'IBAN', '[IBAN_1]', 't'), (2, 'REDACT', 'TCKN', '[TCKN_1]', 't'), (3, 'REDACT', 'EMAIL', '[EMAIL_1]', 't'), (4, 'REDACT', 'PHONE', '[PHONE_1]', 't'), (5, 'REDACT', 'TCKN', '[TCKN_2]', 't'), (6, 'REDACT', 'VKN', '[VKN_1]', 't'), (7, 'REDACT', 'IBAN', '[IBAN_2]', 't')) AS v(seq, action, pii_type, placeholder, timestamp)")
 def audit_log(spark, d):
-    return pii_tr.audit(pii_tr.vault(_letters(spark))).select("seq", "pii_type", "placeholder")
+    return pii_tr.audit(pii_tr.vault(_letters(spark)), F.lit("t"))
 
 
 # The same over all documents and types. SQL can't follow the six passes; the tests compare with brute force.

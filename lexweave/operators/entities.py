@@ -57,9 +57,13 @@ def rejected(x: Column) -> Column:
     )
 
 
+#: What ends a line.
+_LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\u0085  ]"
+
+
 def parse_entities(reply: Column) -> Column:
     """The names in a model's reply, one a line, without bullets and numbers."""
-    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r\n|[\n\r\x0b\f\x1c-\x1e\u0085  ]"), lambda s: F.regexp_replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), r"(?U)^[-•*·]*\s*(?:[\d.)]\s*)*", ""))
+    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), _LINE_END), lambda s: F.regexp_replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), r"(?U)^[-•*·]*\s*(?:[\d.)]\s*)*", ""))
     return F.array_distinct(F.filter(lines, lambda s: s != ""))
 
 
@@ -73,7 +77,7 @@ def parse_relations(reply: Column, entities: Column, key) -> Column:
         own = key(name)
         return F.try_element_at(F.filter(entities, lambda e: key(e) == own), F.lit(-1))
 
-    parts = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r\n|[\n\r]"), lambda s: F.transform(F.split(s, r"\|"), strip)), lambda p: F.size(p) == 3)
+    parts = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), _LINE_END), lambda s: F.transform(F.split(s, r"\|"), strip)), lambda p: F.size(p) == 3)
     ok = lambda p: F.size(words(p[1])).between(1, MAX_RELATION_WORDS) & F.array_contains(keys, key(p[0])) & F.array_contains(keys, key(p[2])) & (key(p[0]) != key(p[2]))
     found = F.transform(F.filter(parts, ok), lambda p: F.struct(spelling(p[0]).alias("source"), p[1].alias("relation"), spelling(p[2]).alias("target")))
     return F.when(F.size(entities) >= 2, found).otherwise(F.slice(found, 1, 0))
@@ -89,19 +93,37 @@ def grounded_exactly(name: Column, source: Column) -> Column:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fills __near with the most similar of __windows, compared by their folds."""
+    """row, near: of the windows the one most similar to the name, compared by their folds."""
     for batch in batches:
         near = []
-        for a, own, low in zip(*(batch.column(c).to_pylist() for c in ("__fold", "__windows", "__folds")), strict=True):
+        for a, own, low in zip(*(batch.column(c).to_pylist() for c in ("fold", "windows", "folds")), strict=True):
             ratios = [SequenceMatcher(None, a, f).ratio() for f in low or ()]
             best = max(ratios, default=0.0)
             near.append(own[ratios.index(best)] if best >= SIMILAR else None)
-        yield batch.set_column(batch.schema.names.index("__near"), "__near", pa.array(near, pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("windows"), pa.array(near, pa.string())], ["name", "windows", "near"])
 
 
 def ground(rows: DataFrame, name: str, source: str, out: str = "spelling") -> DataFrame:
-    """Adds the source's spelling of the name, or null: exact where possible (JVM-side), else the most similar run of capitalised words (Arrow)."""
-    rows = rows.withColumn("__exact", grounded_exactly(F.col(name), F.col(source)))
-    rows = rows.withColumn("__windows", F.when(F.col("__exact").isNull() & (F.length(name) > 0), name_windows(F.col(source))))
-    rows = rows.withColumn("__folds", F.transform("__windows", fold)).withColumn("__fold", fold(F.col(name))).withColumn("__near", F.lit(None).cast("string"))
-    return rows.mapInArrow(_nearest, rows.schema).withColumn(out, F.coalesce("__exact", "__near")).drop("__exact", "__windows", "__folds", "__fold", "__near")
+    """Adds the source's spelling of the name, or null: exact where possible (JVM-side), else the
+    most similar run of capitalised words (Arrow). Only distinct names and windows that match nowhere
+    exactly go to Python; texts never do."""
+    names = unused(rows.columns, "exact", "windows", "name", "near")
+    exact, windows, key, near = map(F.col, names)
+    rows = rows.withColumn(names[0], grounded_exactly(F.col(name), F.col(source)))
+    rows = rows.withColumns({names[1]: F.when(exact.isNull() & (F.length(name) > 0), name_windows(F.col(source))), names[2]: F.col(name)})
+    left = rows.filter(windows.isNotNull()).select(key.alias("name"), windows.alias("windows")).distinct()
+    asked = left.withColumns({"fold": fold(F.col("name")), "folds": F.transform("windows", fold)})
+    found = asked.mapInArrow(_nearest, "name string, windows array<string>, near string").select(F.col("name").alias(names[2]), F.col("windows").alias(names[1]), F.col("near").alias(names[3]))
+    return rows.join(found, [names[2], names[1]], "left").withColumn(out, F.coalesce(exact, near)).select(*[F.col(f"`{c}`") for c in rows.columns if c not in names and c != out], out)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column is called so."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        found.append(name)
+    return found

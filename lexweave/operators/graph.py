@@ -23,24 +23,36 @@ def provenance(mentions: DataFrame) -> DataFrame:
 
 
 def cooccurrences(mentions: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """Both directed edges of each pair of a document's nodes.
+    """Both directed edges of each pair of a document's nodes, alike in label, confidence and weight.
 
-    relations (document_id, source, target, relation, rel_seq): of one pair the last counts; the
-    label of the pair itself comes before that of its reverse.
+    relations (document_id, source, target, relation, rel_seq): of one directed pair the last
+    counts. The label is that from the earlier node to the later one, else that of the way back;
+    of nodes that are mentioned more than once, the last mention decides which is the earlier.
     """
-    own = mentions.groupBy("document_id", "node_id").agg(F.min("seq").alias("seq"))
-    a, b = own.select("document_id", "seq", F.col("node_id").alias("source_id")), own.select("document_id", F.col("node_id").alias("target_id"))
-    pairs = a.join(b, "document_id").filter("source_id <> target_id")
+    own = mentions.groupBy("document_id", "node_id").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"))
+    side = lambda x: own.select("document_id", *[F.col(c).alias(f"{x}_{c}") for c in ("node_id", "seq", "last")])
+    earlier = (F.col("a_last") < F.col("b_last")) | ((F.col("a_last") == F.col("b_last")) & (F.col("a_node_id") < F.col("b_node_id")))
+    pairs = side("a").join(side("b"), "document_id").filter(earlier)
     if relations is None:
         pairs = pairs.withColumn("relation", F.lit(""))
     else:
         last = relations.groupBy("document_id", "source", "target").agg(F.max_by("relation", "rel_seq").alias("relation"))
         way = lambda s, t, name: last.select("document_id", F.col("source").alias(s), F.col("target").alias(t), F.nullif("relation", F.lit("")).alias(name))
-        pairs = pairs.join(way("source_id", "target_id", "own"), ["document_id", "source_id", "target_id"], "left").join(way("target_id", "source_id", "back"), ["document_id", "source_id", "target_id"], "left")
-        # one label for both directions: the one of the earlier node's way, else of the other's
-        pairs = pairs.withColumn("relation", F.coalesce("own", "back", F.lit(""))).drop("own", "back")
+        for s, t, name in (("a_node_id", "b_node_id", "onward"), ("b_node_id", "a_node_id", "back")):
+            pairs = pairs.join(way(s, t, name), ["document_id", s, t], "left")
+        pairs = pairs.withColumn("relation", F.coalesce("onward", "back", F.lit("")))
+    end = lambda s, t: F.struct(F.col(f"{s}_seq").alias("seq"), F.col(f"{s}_node_id").alias("source_id"), F.col(f"{t}_node_id").alias("target_id"))
+    both = pairs.select("document_id", "relation", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e"))
     confidence = F.when(F.col("relation") != "", TYPED).otherwise(UNTYPED)
-    return pairs.select("document_id", "seq", "source_id", "target_id", confidence.alias("confidence"), (-F.log(confidence)).alias("weight"), "relation")
+    return both.select("document_id", "e.seq", "e.source_id", "e.target_id", confidence.alias("confidence"), (-F.log(confidence)).alias("weight"), "relation")
+
+
+def node(nodes: DataFrame, node_id: str) -> str:
+    """The node's label; raises KeyError for an unknown id."""
+    found = nodes.filter(F.col("node_id") == node_id).select("label").first()
+    if found is None:
+        raise KeyError(node_id)
+    return found["label"]
 
 
 def last_write(edges: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ marks; only the distinct values are shuffled, to be numbered in the order of fir
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.validators import valid_tckn
+from lexweave.operators import relational
+from lexweave.sources.shared import saved
 
 # The forms of the six passes; the last group is the value, what precedes it stays.
 _IDENTITY = "[Kk][iıİI][Mm][Ll][iıİI][Kk]"
@@ -25,6 +27,8 @@ PASSES = (
 CHECKED = 3  # the bare identity number must pass its checksum
 #: Stands around a found value's type and number of its pass and place, until it is numbered.
 OPEN, CLOSE = "\ue000", "\ue001"
+#: What stands for these two signs, and for itself, where the text has them.
+ESCAPE, ESCAPED = "\ue002", {"\ue002": "\ue002\ue005", OPEN: "\ue002\ue003", CLOSE: "\ue002\ue004"}
 
 
 def _pass(rows: DataFrame, k: int) -> DataFrame:
@@ -44,7 +48,11 @@ def _pass(rows: DataFrame, k: int) -> DataFrame:
 
 def detect(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     """docs with masked (marks instead of values) and hits (pii_type, value, pass, pos)."""
-    rows = docs.withColumn("masked", F.coalesce(F.col(text), F.lit(""))).withColumn("hits", F.array().cast("array<struct<pii_type:string,value:string,pass:int,pos:int>>"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    escaped = plain
+    for sign, sequence in ESCAPED.items():
+        escaped = F.replace(escaped, F.lit(sign), F.lit(sequence))
+    rows = docs.withColumn("masked", F.when(plain.rlike(f"[{OPEN}-{ESCAPE}]"), escaped).otherwise(plain)).withColumn("hits", F.array().cast("array<struct<pii_type:string,value:string,pass:int,pos:int>>"))
     for k in range(len(PASSES)):
         rows = _pass(rows, k)
     return rows
@@ -59,34 +67,47 @@ def exploded(detected: DataFrame, *columns: Column | str) -> DataFrame:
     return detected.select(*columns, F.explode_outer("hits").alias("h")).filter("h is not null")
 
 
-def vault(detected: DataFrame, known: DataFrame | None = None, seq: str = "ingest_seq") -> DataFrame:
+def vault(detected: DataFrame, known: DataFrame | None = None, seq: str = "ingest_seq", save=saved) -> DataFrame:
     """pii_type, value, placeholder, first_seq, first_pass, first_pos of every distinct value.
 
-    Values are numbered by type in the order of document, pass and place. Ranks come from a sort
-    of the distinct values of each type alone, values first seen at one place of a repeated
-    document number by value; known values keep their placeholder.
+    Values are numbered by type in the order of document, pass and place; values first seen at
+    one place of a repeated document number by value; known values keep their placeholder. The
+    distinct values are dealt by ranges of that order, so no task numbers all of a type.
     """
     first = exploded(detected, F.col(seq).alias("seq")).groupBy("h.pii_type", "h.value").agg(F.min(F.struct("seq", "h.pass", "h.pos")).alias("first"))
-    offset = F.lit(0)
     if known is not None:
         first = first.join(known.select("pii_type", "value"), ["pii_type", "value"], "left_anti")
-        first = first.join(F.broadcast(known.groupBy("pii_type").agg(F.count(F.lit(1)).alias("had"))), "pii_type", "left")  # six types at most
-        offset = F.coalesce("had", F.lit(0))
-    number = F.row_number().over(Window.partitionBy("pii_type").orderBy("first", "value")) + offset
-    new = first.select("pii_type", "value", F.concat(F.lit("["), F.col("pii_type"), F.lit("_"), number.cast("string"), F.lit("]")).alias("placeholder"), F.col("first.seq").alias("first_seq"), F.col("first.pass").alias("first_pass"), F.col("first.pos").alias("first_pos"))
+    placed = relational.numbered(first, ["pii_type", "first", "value"], save)
+    starts = placed.groupBy("pii_type").agg((F.min("number") - 1).alias("start"))  # a row a type, as of the next
+    if known is not None:
+        starts = starts.join(known.groupBy("pii_type").agg(F.count(F.lit(1)).alias("had")), "pii_type", "left").withColumn("start", F.col("start") - F.coalesce("had", F.lit(0))).drop("had")
+    number = (F.col("number") - F.col("start")).cast("string")
+    new = placed.join(F.broadcast(starts), "pii_type").select(
+        "pii_type", "value", F.concat(F.lit("["), F.col("pii_type"), F.lit("_"), number, F.lit("]")).alias("placeholder"),
+        F.col("first.seq").alias("first_seq"), F.col("first.pass").alias("first_pass"), F.col("first.pos").alias("first_pos"),
+    )
     return new if known is None else known.unionByName(new)
 
 
 def redact(detected: DataFrame, vault: DataFrame, key: str = "document_id") -> DataFrame:
-    """key, text with every mark replaced by its value's placeholder: joins the hits, not the texts, with the vault."""
-    own = exploded(detected, key).select(key, F.col("h.pii_type").alias("pii_type"), F.col("h.value").alias("value"), F.concat_ws(":", "h.pass", "h.pos").alias("mark"))
-    names = own.join(vault.select("pii_type", "value", "placeholder"), ["pii_type", "value"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("mark", "placeholder"))).alias("names"))
-    parts = F.split(F.col("masked"), f"[{OPEN}{CLOSE}]", -1)
-    text = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.try_element_at(F.col("names"), p)).otherwise(p)), "")
-    return detected.join(names, key, "left").select(key, F.when(F.col("names").isNull(), F.col("masked")).otherwise(text).alias("text"))
-
+    """key, text with every mark replaced by its value's placeholder: joins the hits, not the texts, with the vault.
 
-def audit(vault: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    """One event for each new value, without the value."""
-    order = Window.orderBy("first_seq", "first_pass", "first_pos", "placeholder")
-    return vault.select(F.row_number().over(order).cast("long").alias("seq"), F.lit("PSEUDONYMIZE").alias("action"), "pii_type", "placeholder", (F.lit("") if timestamp is None else timestamp).alias("timestamp"))
+    A row is known by a digest of its marks and hits, so rows may repeat a key, with the same or other texts.
+    """
+    rows = detected.withColumn("__row", F.sha2(F.to_json(F.struct("masked", "hits")), 256))
+    own = exploded(rows, "__row").select("__row", F.col("h.pii_type").alias("pii_type"), F.col("h.value").alias("value"), F.concat_ws(":", "h.pass", "h.pos").alias("mark")).distinct()
+    named = own.join(vault.select("pii_type", "value", "placeholder"), ["pii_type", "value"])
+    names = named.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("mark", "placeholder"))).alias("names"))
+    parts = F.split(F.col("masked"), f"[{OPEN}{CLOSE}]", -1)
+    marked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.try_element_at(F.col("names"), p)).otherwise(p)), "")
+    text = F.when(F.col("names").isNull(), F.col("masked")).otherwise(marked)
+    plain = text
+    for sign, sequence in reversed(ESCAPED.items()):
+        plain = F.replace(plain, F.lit(sequence), F.lit(sign))
+    return rows.join(names, "__row", "left").select(key, F.when(F.contains(text, F.lit(ESCAPE)), plain).otherwise(text).alias("text"))
+
+
+def audit(vault: DataFrame, timestamp: Column | None = None, save=saved) -> DataFrame:
+    """One event for each new value, without the value, in the order of first sight."""
+    placed = relational.numbered(vault, ["first_seq", "first_pass", "first_pos", "placeholder"], save, "seq")
+    return placed.select(F.col("seq").cast("long").alias("seq"), F.lit("REDACT").alias("action"), "pii_type", "placeholder", (F.lit("") if timestamp is None else timestamp).alias("timestamp"))

@@ -29,34 +29,60 @@ def cosine_top(rows: DataFrame, query: list[float], k: int, vector: str = "embed
     return rows.withColumn("score", dot).orderBy(F.desc("score"), order).limit(k)
 
 
+def terms(text: Column) -> Column:
+    """K1: a text's terms in order."""
+    return words(lower_tr(F.coalesce(text, F.lit(""))))
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """K1, K2: key, term, tf, len. Whatever else BM25 needs is derived from these."""
-    terms = chunks.select(key, words(lower_tr(F.coalesce(F.col(text), F.lit("")))).alias("terms"))
-    return terms.select(key, F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    """K1, K2: key, term, tf, len."""
+    listed = chunks.select(key, terms(F.col(text)).alias("terms"))
+    return listed.select(key, F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+
+
+def statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """K2: term, df, size of every term; the empty term, which no text has, stands for all chunks: their number, and their terms.
+
+    One pass: each chunk's distinct terms, counted map-side before they are shuffled. Rows of
+    several tables add up by term, so the archive stores them as they come.
+    """
+    listed = chunks.select(terms(F.col(text)).alias("terms"))
+    own = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("terms").cast("long").alias("size"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("size"))))
+    return listed.select(F.explode(own).alias("t")).groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.size").alias("size"))
 
 
-def bm25(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """K3: chunks with a score; those without a query term score 0.
+def bm25_score(query: str, stats: DataFrame, text: str = "text") -> Column:
+    """K3: the score of a text; what doesn't depend on it (a row a term of the query, one of means) is read here.
 
-    idf needs the document frequency of every term (its mean stands in for negative ones), so
-    postings are aggregated once by term; only the query's postings are joined back.
+    The mean of all terms' idf stands in, times EPSILON, for negative ones.
     """
-    spark = chunks.sparkSession
-    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(words(lower_tr(F.col("q")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(chunks, key, text)
-    sizes = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(lower_tr(F.coalesce(F.col(text), F.lit("")))))).alias("mean_len"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))  # one row
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    wanted = raw.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean))
-    wanted = wanted.select("term", "qtf", "mean_len", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scores = found.join(F.broadcast(wanted), "term").groupBy(key).agg(F.sum(part).alias("score"))  # a row for each term of the query at most
-    return chunks.join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-
-
-def bm25_top(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", text: str = "text", order: str = "seq") -> DataFrame:
-    return bm25(chunks, query, key, text).orderBy(F.desc("score"), order).limit(k)
+    spark = stats.sparkSession
+    asked = [r["t"] for r in spark.createDataFrame([(query,)], "q string").select(F.explode(terms(F.col("q"))).alias("t")).collect()]
+    summed = stats.groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+    all_ = summed.filter("term = ''").first()
+    if all_ is None or not asked:
+        return F.lit(0.0)
+    n, mean_len = float(all_["df"]), all_["size"] / all_["df"]
+    idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    own = summed.filter("term <> ''").select("term", idf.alias("idf"))
+    mean = own.agg(F.avg("idf")).first()[0]
+    of = {r["term"]: r["idf"] if r["idf"] >= 0 else EPSILON * mean for r in own.filter(F.col("term").isin(asked)).collect()}
+    hits, long = F.filter(terms(F.col(text)), lambda t: t.isin(list(of) or [""])), F.size(terms(F.col(text)))
+
+    def part(term: str) -> Column:
+        tf = F.size(F.filter(hits, lambda t: t == term))
+        return F.lit(asked.count(term) * of[term]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long / mean_len))
+
+    return sum((part(t) for t in dict.fromkeys(asked) if t in of), F.lit(0.0))
+
+
+def bm25(chunks: DataFrame, query: str, text: str = "text", stats: DataFrame | None = None) -> DataFrame:
+    """chunks with a score (of that name, whatever they had); those without a query term score 0. A projection: no shuffle."""
+    return chunks.withColumn("score", bm25_score(query, statistics(chunks, text) if stats is None else stats, text))
+
+
+def bm25_top(chunks: DataFrame, query: str, k: int, text: str = "text", order: str = "seq", stats: DataFrame | None = None) -> DataFrame:
+    return bm25(chunks, query, text, stats).orderBy(F.desc("score"), order).limit(k)
 
 
 def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Allowed transitions of a document. Fixed values.
@@ -62,17 +62,24 @@ def allowed(state: Column, target: Column) -> Column:
 
 def checked_log(events: DataFrame, seq: str = "seq") -> DataFrame:
     """A document's transitions with the state before each and whether it was legal; a document begins as received."""
-    from pyspark.sql import Window
-
     before = F.lag("target", 1, "RECEIVED").over(Window.partitionBy("document_id").orderBy(seq))
     return events.withColumn("state", before).withColumn("legal", allowed(F.col("state"), F.col("target")))
 
 
-def memoised(asked: DataFrame, cache: DataFrame, infer, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """L3: (asked with answers, the new cache); infer maps the distinct missing keys to (key, answer)."""
-    missing = asked.select(key).distinct().join(cache.select(key), key, "left_anti")
-    after = cache.select(key, "answer").unionByName(infer(missing).select(key, "answer"))
-    return asked.join(after, key), after
+def memoised(asked: DataFrame, memo: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
+    """L3: asked with the answers of the memo and of its new rows; answers are null where neither has one."""
+    return asked.join(memo.select(key, "answer").unionByName(new.select(key, "answer")), key, "left")
+
+
+def numbered(rows: DataFrame, order: list[str], save, name: str = "number") -> DataFrame:
+    """rows with their number from 1 in the order: a range partition is numbered by itself, then moved
+    by the sizes of those before it (one row a partition). save writes a table and reads it back."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__in": inside}))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__in") + 1).drop("__part", "__in", "__start")
 
 
 def cache_accounting(asked: DataFrame, key: str = "key") -> DataFrame:
