@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import unused
+from lexweave.llm.common import give_back, unused
 from lexweave.llm.quality import pooled
 
 KINDS = ("email", "ip", "card", "phone")
@@ -176,8 +176,12 @@ def _new_span(ordered: str) -> Callable[[Column, Column], Column]:
 
 def free(kind: str) -> Column:
     """The proposals of the kind that touch no base span: what lies within one adds nothing."""
-    touches = lambda c: [F.exists(F.col(f"base_{k}"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) for k in KINDS]
-    return F.filter(F.col(f"loose_{kind}"), lambda c: ~(touches(c)[0] | touches(c)[1] | touches(c)[2] | touches(c)[3]))
+
+    def apart(c: Column) -> Column:
+        email, ip, card, phone = (F.exists(F.col(f"base_{k}"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) for k in KINDS)
+        return ~(email | ip | card | phone)
+
+    return F.filter(F.col(f"loose_{kind}"), apart)
 
 
 #: Features of a candidate, by name; format first, then context.
@@ -407,6 +411,8 @@ def fit(docs: DataFrame, written: int = WRITTEN) -> Trees:
             model.thresholds[kind] = cut
             selected, hits = unseen & (z >= cut), sum(1 for i, name, _, _ in planted if i % 5 == 4 and name == kind)
             model.figures[kind] = float(y[selected].sum() / max(1, selected.sum())), float(y[selected].sum() / max(1, hits))
+    del texts, planted, found, x, y
+    give_back()
     return model
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import crc32_of, gathered, map_batches, passing_tables, shared_table, words_of
+from lexweave.llm.common import crc32_of, gathered, give_back, map_batches, passing_tables, shared_table, words_of
 
 WINDOW, STRIDE = 1, 1
 BUCKETS, WIDTH, GRAMS, COMMON = 1 << 18, 8, (3, 5), 3
@@ -244,7 +244,10 @@ def fit(rows: list[tuple[str, bool]]) -> Model:
     trainer = _Trainer(list(known), [of_word[numbers[b:e]] if e > b else nothing for b, e in itertools.pairwise(ends.tolist())])
     all_, third = np.arange(len(rows)), np.arange(len(rows)) % 3 == 0
     worst = Scorer(trainer.fit(all_[~third], toxic)).worst(texts.filter(pa.array(third)))
-    return calibrated(trainer.fit(all_, toxic), worst, toxic[third])
+    model = calibrated(trainer.fit(all_, toxic), worst, toxic[third])
+    del trainer, known, of_word, numbers, distinct, texts
+    give_back()
+    return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, most_bytes: int = MAX_SAMPLE_BYTES) -> list[tuple[str, bool]]:
