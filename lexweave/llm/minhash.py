@@ -247,7 +247,7 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component."""
     placed = shared_table(members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    return shared_table(placed.join(shared_table(several, "several"), "key"), "apart")
+    return shared_table(placed.join(shared_table(several, "several").hint("merge"), "key"), "apart")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -260,7 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the way to it are removed.
 
     What is joined by a bucket's key is written before: a join of two read tables has nothing
-    that binds a key to one task, so that Spark splits a bucket that holds very many.
+    that binds a key to one task, so that Spark splits a bucket that holds very many. These tables
+    grow with the input, so they are merged, not broadcast, at every size.
     """
     with passing_tables(docs.sparkSession) as keep:
         found = shared_table(_components_of(docs), "near-duplicates")
@@ -277,7 +278,7 @@ def _components_of(docs: DataFrame) -> DataFrame:
     same = nodes.select("id", "set_key", "label")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = shared_table(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub"), "shared")
-    members = shared_table(rows.join(shared, "key"), "members")
+    members = shared_table(rows.join(shared.hint("merge"), "key"), "members")
     sets = _full_sets(docs, same.join(members.select("id").distinct(), "id", "left_semi"))
     star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(links_of(star, nodes, sets))
@@ -285,7 +286,7 @@ def _components_of(docs: DataFrame) -> DataFrame:
         left = _apart(members, labels)
         order = F.xxhash64("id", "key", F.lit(turn))
         hubs = shared_table(left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "n")).alias("hub")), "hubs")
-        met = left.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).filter(_sizes_allow(F.col("n"), F.col("hub.n")))
+        met = left.join(hubs.hint("merge"), "key").filter(F.col("component") != F.col("hub.component")).filter(_sizes_allow(F.col("n"), F.col("hub.n")))
         labels = joined(labels, links_of(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), nodes, sets))
     left = _apart(members, labels)
     rest = _rarest(sets, left.select("id", "component", "n").distinct()).distinct()
