@@ -3,19 +3,22 @@
 1. Every text becomes its set of 5-word shingles (64-bit hashes), BANDS x ROWS minima of it and
    a key of the set. Texts with the same set are one node, named by their smallest doc_id.
 2. Nodes with the same minima in a band share a bucket. A bucket first pairs each member with
-   its smallest member only (a star), so a bucket of m members costs m - 1 pairs.
+   its most central one only (a star): the one whose buckets hold the most members. Near copies
+   of one text so meet the same member in most of their buckets, the one most alike to the rest:
+   a few pairs a text, not one a bucket, and few that don't link.
 3. A pair's signatures are compared a batch of minima at a time; the pair is dropped as soon as
    the posterior probability of a similarity of the threshold falls below MISS.
 4. Survivors are verified on their full sets. Links make components.
 5. In STARS further rounds, each bucket that still holds several components pairs its members
-   with another member, chosen at random by bucket and round. Copies of copies, not all of which
-   reach the threshold with the smallest, meet by that in a few rounds, at m - 1 pairs a bucket.
+   with the next most central one. Copies of copies, not all of which reach the threshold with
+   the first, meet by that, at m - 1 pairs a bucket at most.
 6. Members of buckets that hold several components even then are compared across components
    over their rarest shingles: two sets of n and m shingles that reach the threshold have so
    many in common that one lies among the first few of both, whatever the order; rarest first
-   keeps passages that many texts share out of the join.
+   keeps passages that many texts share out of the join. Members of a shingle's largest component
+   meet those outside it, never each other; a text outside may still meet every member.
 
-No step emits all pairs of a group; nothing is capped. The chance that a pair of exactly the
+No step emits all pairs of a linked group; nothing is capped. The chance that a pair of exactly the
 threshold shares no bucket is (1 - 0.75^4)^32, 5 in a million.
 """
 
@@ -37,7 +40,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Minima compared at a time, and the chance of dropping a pair of the threshold that each batch may add.
 BATCH, MISS = 16, 1e-6
-#: Rounds of stars around random members.
+#: Rounds of stars around further members.
 STARS = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,12 +234,29 @@ def _rarest(sets: DataFrame, apart: DataFrame) -> DataFrame:
     # a shingle of one text alone joins nothing but takes its place in the order, before all others
     ordered = rows.join(common, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
     first = ordered.filter("df is not null").join(apart, "id").filter(F.col("place") <= F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1).select("shingle", "id", "component", "n", "place")
+    first = shared_table(first, "first")
+    parts = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("many"))
+    several = parts.groupBy("shingle").agg(F.max(F.struct("many", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    met = shared_table(first.join(shared_table(several.select("shingle", "largest"), "several").hint("merge"), "shingle"), "met")
     # of two sets of n and m shingles, at least `both` must be common, so one lies among the first n - both + 1 and m - both + 1
     both = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
     x, y = ([F.col(c).alias(c[0] + side) for c in ("component", "n", "place")] for side in "ab")
-    pairs = first.select("shingle", F.col("id").alias("a"), *x).join(first.select("shingle", F.col("id").alias("b"), *y), "shingle")
+    outside = met.filter("component <> largest").select("shingle", F.col("id").alias("a"), *x)
+    pairs = outside.join(met.select("shingle", "largest", F.col("id").alias("b"), *y), "shingle")
     early = (F.col("pa") <= F.col("na") - both + 1) & (F.col("pb") <= F.col("nb") - both + 1)
-    return pairs.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb")) & early).select("a", "b")
+    once = (F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))
+    return pairs.filter(once & (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb")) & early).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _most_central(members: DataFrame) -> DataFrame:
+    """key, hub (weight, id, component, n) of each bucket."""
+    return shared_table(members.groupBy("key").agg(F.max(F.struct("weight", "id", "component", "n")).alias("hub")), "hubs")
+
+
+def _star(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the buckets' hubs with the members of other components."""
+    met = members.join(hubs.hint("merge"), "key").filter(F.col("component") != F.col("hub.component")).filter(_sizes_allow(F.col("n"), F.col("hub.n")))
+    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
 def _sizes_allow(n, m):
@@ -245,7 +265,7 @@ def _sizes_allow(n, m):
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component."""
-    placed = shared_table(members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    placed = shared_table(members.join(labels, "id", "left").select("key", "id", "n", "weight", F.coalesce("component", "id").alias("component")), "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     return shared_table(placed.join(shared_table(several, "several").hint("merge"), "key"), "apart")
 
@@ -277,17 +297,18 @@ def _components_of(docs: DataFrame) -> DataFrame:
     nodes = shared_table(of_set.withColumn("id", F.monotonically_increasing_id()), "nodes")
     same = nodes.select("id", "set_key", "label")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
-    shared = shared_table(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub"), "shared")
+    shared = shared_table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     members = shared_table(rows.join(shared.hint("merge"), "key"), "members")
+    members = shared_table(members.join(members.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("key", "id", "n", "weight"), "weighed")
     sets = _full_sets(docs, same.join(members.select("id").distinct(), "id", "left_semi"))
-    star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    labels = components(links_of(star, nodes, sets))
-    for turn in range(1, STARS + 1):
+    alone = members.withColumn("component", F.col("id"))
+    hubs = _most_central(alone)
+    labels = components(links_of(_star(alone, hubs), nodes, sets))
+    for _ in range(STARS):
         left = _apart(members, labels)
-        order = F.xxhash64("id", "key", F.lit(turn))
-        hubs = shared_table(left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "n")).alias("hub")), "hubs")
-        met = left.join(hubs.hint("merge"), "key").filter(F.col("component") != F.col("hub.component")).filter(_sizes_allow(F.col("n"), F.col("hub.n")))
-        labels = joined(labels, links_of(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), nodes, sets))
+        before = hubs.select("key", F.struct("hub.weight", "hub.id").alias("before"))
+        hubs = _most_central(left.join(before.hint("merge"), "key").filter(F.struct("weight", "id") < F.col("before")))
+        labels = joined(labels, links_of(_star(left, hubs), nodes, sets))
     left = _apart(members, labels)
     rest = _rarest(sets, left.select("id", "component", "n").distinct()).distinct()
     labels = joined(labels, links_of(rest, nodes, sets))
